@@ -7,12 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, packing
+from leafline.llm import bpe, packing, split, topn
 from leafline.session import spread, table
 
 CAPACITY = 2048
 
 
+def _items(spark: SparkSession, root: str) -> DataFrame:
+    """Both kinds of texts that are cut: (item_table, item_id, text)."""
+    blocks = table(spark, root, "text_blocks").select(F.lit("text_blocks").alias("item_table"), F.col("block_uid").cast("string").alias("item_id"), F.col("content").alias("text"))
+    tasks = table(spark, root, "tasks").select(F.lit("tasks").alias("item_table"), F.col("task_id").alias("item_id"), F.col("markdown_content").alias("text"))
+    return blocks.unionByName(tasks)
+
+
+def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Every text in pieces of at most 1000, whole texts included."""
+    return split.split_oversized(_items(spark, root), "text", ["item_table", "item_id"]).distinct()
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return split.split_long(_items(spark, root), "text", ["item_table", "item_id"]).filter("piece_no = 0").select("item_table", "item_id", "cut").distinct()
+
+
+def p2_top(spark: SparkSession, root: str) -> DataFrame:
+    """The five best blocks of every image, with scores and ranks."""
+    valid = table(spark, root, "associations").filter("image_id is not null and relevance_score between 0 and 1")
+    return topn.top_n(valid, "image_id", "block_uid", "relevance_score", 5)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_top(spark, root).select("image_id", "block_uid")
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_texts(spread(table(spark, root, "documents").select("doc_id", "text")), "text", ["doc_id"])
 

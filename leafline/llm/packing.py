@@ -80,17 +80,15 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> pd.DataFrame:
     return out
 
 
-def pack(df: DataFrame, item: str, size: str, capacity: int, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(df: DataFrame, item: str, size: str, capacity: int, n_items: int | None = None, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Where each piece of each item goes: (item, piece, n_pieces, start, size, bin_id).
 
     One shuffle of two narrow columns. ``start`` and ``size`` count from the item's beginning in the unit
-    of ``size``. ``bin_id`` is 'group-number'; the same input gives the same bins.
+    of ``size``. ``bin_id`` is 'group-number'; the same input gives the same bins. ``n_items`` saves counting
+    the rows where sizes are costly to compute.
     """
-    from pyspark.sql.functions import pmod, xxhash64
-
-    n = df.count()
-    groups = max(1, -(-n // group_items))
-    narrow = df.select(F.col(item).alias("i"), F.col(size).cast("long").alias("s"), xxhash64(F.col(item)).alias("o"), pmod(xxhash64(F.col(item)), F.lit(groups)).cast("int").alias("g"))
+    groups = max(1, -(-(df.count() if n_items is None else n_items) // group_items))
+    narrow = df.select(F.col(item).alias("i"), F.col(size).cast("long").alias("s"), F.xxhash64(F.col(item)).alias("o"), F.pmod(F.xxhash64(F.col(item)), F.lit(groups)).cast("int").alias("g"))
     kind = df.schema[item].dataType
     schema = T.StructType([T.StructField("item", kind), *(T.StructField(k, T.LongType()) for k in ("piece", "n_pieces", "start", "size")), T.StructField("bin_id", T.StringType())])
 

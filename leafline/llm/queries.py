@@ -45,8 +45,9 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_bins(spark: SparkSession, root: str) -> DataFrame:
     """Every document's place in the containers."""
-    sizes = bpe.count_tokens(spread(table(spark, root, "documents").select("doc_id", "text")), "text", ["doc_id"])
-    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+    documents = table(spark, root, "documents").select("doc_id", "text")
+    sizes = bpe.count_tokens(spread(documents), "text", ["doc_id"])
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY, documents.count())
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:

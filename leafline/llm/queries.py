@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, packing, split, topn
+from leafline.llm import bpe, packing, spans, split, topn
 from leafline.session import spread, table
 
 CAPACITY = 2048
@@ -54,6 +54,19 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_bins(spark, root).filter((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    documents = spread(table(spark, root, "documents").select("doc_id", "text"))
+    return spans.shared_pairs(documents, "doc_id", "text").withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+
+
+def p9_spans(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_spans(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def p9_share(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_shares(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, packing, spans, split, topn
+from leafline.llm import bpe, knn, packing, spans, split, topn
 from leafline.session import spread, table
 
 CAPACITY = 2048
@@ -39,6 +39,16 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_top(spark, root).select("image_id", "block_uid")
 
 
+def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The five records most alike of every record with a usable vector."""
+    return knn.most_similar(table(spark, root, "kb_documents"), "document_id", "content_vector")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    near = p6_neighbours(spark, root).filter("cosine >= 0.9")
+    return near.select(F.least("document_id", "neighbour").alias("document_id_a"), F.greatest("document_id", "neighbour").alias("document_id_b")).distinct()
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_texts(spread(table(spark, root, "documents").select("doc_id", "text")), "text", ["doc_id"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, knn, packing, spans, split, topn
+from leafline.llm import bpe, knn, lookalike, packing, spans, split, topn
 from leafline.session import spread, table
 
 CAPACITY = 2048
@@ -39,6 +39,23 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_top(spark, root).select("image_id", "block_uid")
 
 
+def _spellings(spark: SparkSession, root: str) -> list[str]:
+    """The words of the glossary, a table of fixed size."""
+    terms = table(spark, root, "glossary").orderBy("term_id").select("term").collect()
+    return [w for r in terms if r["term"] for w in r["term"].split()]
+
+
+def p4_text(spark: SparkSession, root: str) -> DataFrame:
+    """Every block's content in the consistent form."""
+    blocks = spread(table(spark, root, "text_blocks").select("block_uid", "content"))
+    return lookalike.canonical_texts(blocks, "content", ["block_uid"], _spellings(spark, root)).select("block_uid", "content").distinct()
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    blocks = spread(table(spark, root, "text_blocks").select("block_uid", "content"))
+    return lookalike.alike_pairs(blocks, "block_uid", "content", _spellings(spark, root)).withColumnsRenamed({"id_a": "block_uid_a", "id_b": "block_uid_b"})
+
+
 def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The five records most alike of every record with a usable vector."""
     return knn.most_similar(table(spark, root, "kb_documents"), "document_id", "content_vector")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, knn, lookalike, packing, spans, split, topn
+from leafline.llm import bpe, knn, langid, lookalike, packing, spans, split, topn
 from leafline.session import spread, table
 
 CAPACITY = 2048
@@ -39,6 +39,23 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_top(spark, root).select("image_id", "block_uid")
 
 
+def _stretches(spark: SparkSession, root: str) -> DataFrame:
+    """Every block's stretches of one language."""
+    samples = [(r["lang"], r["text"]) for r in table(spark, root, "lang_samples").orderBy("sample_id").collect()]  # a table of fixed size
+    blocks = spread(table(spark, root, "text_blocks").select("block_uid", "language", "content"))
+    return langid.stretches(blocks, "content", ["block_uid", "language"], samples)
+
+
+def p3_segments(spark: SparkSession, root: str) -> DataFrame:
+    return _stretches(spark, root).drop("language").distinct()
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    stored = F.lower(F.trim(F.split("language", "[-_]")[0]))
+    wrong = (F.col("n_langs") > 1) | ~F.coalesce(stored == F.col("lang"), F.lit(False))
+    return _stretches(spark, root).filter(F.col("lang").isNotNull() & (F.col("letters") >= 40) & wrong).select("block_uid", "lang").distinct()
+
+
 def _spellings(spark: SparkSession, root: str) -> list[str]:
     """The words of the glossary, a table of fixed size."""
     terms = table(spark, root, "glossary").orderBy("term_id").select("term").collect()

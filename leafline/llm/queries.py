@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, knn, langid, lookalike, packing, spans, split, topn
+from leafline.llm import bpe, knn, langid, lookalike, packing, scans, spans, split, topn
 from leafline.session import spread, table
 
 CAPACITY = 2048
@@ -73,6 +73,26 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.alike_pairs(blocks, "block_uid", "content", _spellings(spark, root)).withColumnsRenamed({"id_a": "block_uid_a", "id_b": "block_uid_b"})
 
 
+def _pages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The page blocks of scanned documents (their text has no font size), and all other texts."""
+    blocks = table(spark, root, "text_blocks")
+    scanned = F.coalesce("font_size", F.lit(0.0)) == 0
+    pages = blocks.filter(scanned).select(F.col("doc_id").alias("doc"), F.col("page_number").alias("page"), F.col("block_uid").alias("uid"), F.col("content").alias("text"))
+    clean = spread(blocks.filter(~scanned).select(F.col("content").alias("text")))
+    terms = table(spark, root, "glossary").select(F.col("term").alias("text"))
+    return pages, clean.unionByName(terms).unionByName(table(spark, root, "lang_samples").select("text"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.noise(*_pages(spark, root)).select(F.col("uid").alias("block_uid"), "kind", "fixed").distinct()
+
+
+def p5_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    """The repaired pages as continuous paragraphs."""
+    pages, clean = _pages(spark, root)
+    return scans.paragraphs(pages, scans.noise(pages, clean)).withColumnRenamed("uid", "block_uid")
+
+
 def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The five records most alike of every record with a usable vector."""
     return knn.most_similar(table(spark, root, "kb_documents"), "document_id", "content_vector")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from leafline.llm.lookalike import table_form
+from leafline.llm.lookalike import table_form, unsure
 
 ORDER = 5
 SWITCH = 12.0
@@ -154,7 +154,7 @@ class Labeller:
         for t in texts:
             own = []
             t, start = t or "", 0
-            clean = table_form(t) is t
+            clean = t.isascii() or not unsure(letters=True).search(t)
             for end in [*(m.end() for m in SENTENCE_END.finditer(t)), len(t)]:
                 if end == start:
                     continue

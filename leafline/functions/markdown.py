@@ -46,7 +46,7 @@ def table_markdown(headers: Column, rows: Column) -> Column:
 
 def split_blocks(md: Column) -> Column:
     """Non-blank blocks of a Markdown text, parted by blank lines."""
-    return F.filter(F.transform(F.split(md, r"\r?\n[ \t]*\r?\n"), F.trim), lambda b: b != "")
+    return F.filter(F.transform(F.split(md, r"\r?\n[ \t]*\r?\n"), lambda b: F.trim(b)), lambda b: b != "")
 
 
 def block_kind(block: Column) -> Column:

@@ -73,7 +73,7 @@ def sentence_chunks(t: Column, size: int = 1000, overlap: int = 200) -> Column:
 
 def words(t: Column) -> Column:
     """Lower-case words."""
-    return F.regexp_extract_all(F.lower(simple_clean(t)), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(simple_clean(t)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def tokens(t: Column) -> Column:

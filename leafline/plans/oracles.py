@@ -194,7 +194,7 @@ ORACLES["association_score"] = f"""WITH {RANKED} SELECT block_uid, image_id, rou
 
 def _pruned(least: float, image: int, total: int, caption: float, boost: bool) -> str:
     grade = "CASE WHEN final_score >= 0.8 THEN 'excellent' WHEN final_score >= 0.6 THEN 'good' WHEN final_score >= 0.4 THEN 'fair' ELSE 'poor' END"
-    return f"""g AS (SELECT *, {grade} AS quality, coalesce(caption_score >= {caption}, false) AS caption_boosted, final_score * CASE WHEN {boost} AND final_score >= 0.6 THEN 1.1e0 ELSE 1e0 END * CASE WHEN caption_score >= {caption} THEN 1.2e0 ELSE 1e0 END AS adjusted
+    return f"""g AS (SELECT * EXCLUDE (caption_boosted), {grade} AS quality, coalesce(caption_score >= {caption}, false) AS caption_boosted, final_score * CASE WHEN {boost} AND final_score >= 0.6 THEN 1.1e0 ELSE 1e0 END * CASE WHEN caption_score >= {caption} THEN 1.2e0 ELSE 1e0 END AS adjusted
   FROM associations WHERE image_id IS NOT NULL AND final_score >= {least}),
  d AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY block_uid, image_id ORDER BY adjusted DESC, final_score DESC) = 1),
  l AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY adjusted DESC, block_uid) AS image_rank FROM d QUALIFY image_rank <= {image}),
@@ -214,9 +214,10 @@ ORACLES["weight_profiles"] = "SELECT kind, round(0.6e0 / (0.85e0 + 0.4e0 * boost
 
 ORACLES["related_images"] = """WITH a AS (SELECT block_uid, image_id, max(final_score) AS s FROM associations WHERE image_id IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY block_uid ORDER BY s DESC, image_id) AS k FROM a QUALIFY k <= 5),
  l AS (SELECT block_uid, string_agg(image_id, ',' ORDER BY k) AS images FROM k GROUP BY ALL) SELECT block_uid, coalesce(images, '') AS images FROM (SELECT DISTINCT block_uid FROM text_blocks) LEFT JOIN l USING (block_uid)"""
+_three = "round(final_score::DECIMAL(18, 6), 3)::DECIMAL(18, 3)::VARCHAR"
 _kept = "k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, text_block_id, image_id, association_type) AS k FROM (SELECT DISTINCT doc_id, text_block_id, image_id, final_score, association_type FROM associations WHERE image_id IS NOT NULL) QUALIFY k <= 100)"
-ORACLES["assoc_comments"] = f"""WITH {_kept} SELECT doc_id, count(*) AS n, chr(10) || chr(10) || '<!-- IMAGE-TEXT ASSOCIATIONS -->' || chr(10) || string_agg(format('<!-- Association {{}}: TextBlock={{}}, Image={{}}, Score={{:.3f}}, Type={{}} -->', k, text_block_id, image_id, final_score, association_type), chr(10) ORDER BY k) || chr(10) AS comments FROM k GROUP BY doc_id"""
-ORACLES["assoc_roundtrip"] = f"WITH {_kept} SELECT doc_id, k - 1 AS pos, text_block_id, image_id, format('{{:.3f}}', final_score)::DOUBLE AS final_score, association_type FROM k"
+ORACLES["assoc_comments"] = f"""WITH {_kept} SELECT doc_id, count(*) AS n, chr(10) || chr(10) || '<!-- IMAGE-TEXT ASSOCIATIONS -->' || chr(10) || string_agg(format('<!-- Association {{}}: TextBlock={{}}, Image={{}}, Score={{}}, Type={{}} -->', k, text_block_id, image_id, {_three}, association_type), chr(10) ORDER BY k) || chr(10) AS comments FROM k GROUP BY doc_id"""
+ORACLES["assoc_roundtrip"] = f"WITH {_kept} SELECT doc_id, k - 1 AS pos, text_block_id, image_id, {_three}::DOUBLE AS final_score, association_type FROM k"
 ORACLES["assoc_json"] = "SELECT block_uid, image_id, text_block_id, final_score FROM associations"
 _line = "CASE WHEN heading_level > 0 OR content_type = 'header' THEN repeat('#', least(greatest(heading_level, 1), 6)::INT) || ' ' || content WHEN is_bullet_point OR content_type = 'list' THEN '- ' || content ELSE content END"
 ORACLES["markdown_documents"] = f"""WITH b AS (SELECT DISTINCT * EXCLUDE (bbox) FROM text_blocks WHERE trim(coalesce(content, '')) <> ''), d AS (SELECT doc_id, string_agg({_line}, chr(10) || chr(10) ORDER BY page_number, paragraph_index, block_uid) AS body FROM b GROUP BY doc_id),
@@ -245,7 +246,7 @@ _sentences = "list_filter(list_transform(string_split_regex(t, {0}), lambda s: r
 ORACLES["sentence_counts"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, CASE WHEN {_lang("t")} = 'zh' THEN {_sentences.format("'[。！？；]'")} ELSE {_sentences.format("'[.!?;]'")} END AS s FROM d)
 SELECT doc_id, len(s) AS n, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s"""
 _simple = "trim(regexp_replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '[\\s\\p{{Z}}\\x0b\\x{{85}}]+', ' ', 'g'))"
-_tokens = f"""d AS (SELECT doc_id, text AS t, {_lang("text")} AS language FROM documents WHERE text IS NOT NULL), tk AS (SELECT doc_id, language, CASE WHEN language = 'zh' THEN regexp_extract_all({_simple.format("t")}, '[^\\s\\p{{Z}}]') ELSE regexp_extract_all(lower({_simple.format("t")}), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+') END AS w FROM d),
+_tokens = f"""d AS (SELECT doc_id, text AS t, {_lang("text")} AS language FROM documents WHERE text IS NOT NULL), tk AS (SELECT doc_id, language, CASE WHEN language = 'zh' THEN regexp_extract_all({_simple.format("t")}, '[^\\s\\p{{Z}}]') ELSE regexp_extract_all(lower({_simple.format("t")}), '[\\p{{L}}\\p{{N}}_]+') END AS w FROM d),
  ws AS (SELECT doc_id, language, unnest(w) AS word, unnest(range(len(w))) AS pos FROM tk)"""
 ORACLES["word_counts"] = f"WITH {_tokens} SELECT word, count(DISTINCT doc_id) AS documents, count(*) AS n FROM ws GROUP BY word"
 ORACLES["keywords"] = f"""WITH {_tokens}, n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM ws WHERE length(word) >= 2 AND NOT (CASE WHEN language = 'zh' THEN word IN {_in(STOP_WORDS_ZH)} ELSE word IN {_in(STOP_WORDS_EN)} END) GROUP BY ALL)
@@ -305,7 +306,7 @@ ORACLES["task_eta"] = f"SELECT task_id, round(CASE WHEN progress <= 0 OR progres
 ORACLES["task_facts"] = f"SELECT task_id, document_id, status, coalesce(pages, 0) AS pages, coalesce(blocks, 0) AS blocks FROM {_tasks} LEFT JOIN (SELECT doc_id, count(DISTINCT page_number) AS pages, count(DISTINCT block_uid) AS blocks FROM text_blocks GROUP BY doc_id) ON document_id = doc_id"
 ORACLES["error_stats"] = "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE ts BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00') AS last_day FROM events GROUP BY event_type"
 ORACLES["rate_fixed_window"] = "SELECT user_id AS client, epoch_us(ts) // 3600000000 * 3600 AS window_start, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM events GROUP BY ALL"
-ORACLES["rate_layered_windows"] = """WITH w AS (SELECT user_id AS client, width, most, epoch_us(ts) // (width * 1000000) AS k, count(*) AS n FROM events, (VALUES (60, 60), (3600, 1000), (86400, 10000)) l(width, most) GROUP BY ALL)
+ORACLES["rate_layered_windows"] = """WITH w AS (SELECT user_id AS client, width, most, epoch_us(ts) // (width * 1000000::BIGINT) AS k, count(*) AS n FROM events, (VALUES (60, 60), (3600, 1000), (86400, 10000)) l(width, most) GROUP BY ALL)
 SELECT client, width, count(*) AS windows, max(n) AS most, sum(greatest(n - w.most, 0))::BIGINT AS refused FROM w GROUP BY client, width"""
 ORACLES["rate_rolling_budget"] = "SELECT event_id, count(*) OVER w AS used_requests, round(sum(value) OVER w, 4) AS used_cost FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)"
 ORACLES["rate_rule_match"] = """SELECT method, path, rule, most, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'GET' ELSE 'POST' END AS method, CASE event_type WHEN 'purchase' THEN '/api/upload/file' WHEN 'view' THEN '/api/status' ELSE '/other' END AS path,
@@ -317,5 +318,5 @@ _D = "d AS (SELECT DISTINCT doc_id, page_number, id, bbox.x AS x, bbox.y AS y, b
 _C = f"{_D}, r(doc_id, page_number, a, b) AS (SELECT doc_id, page_number, id, id FROM d UNION SELECT r.doc_id, r.page_number, r.a, n.b FROM r JOIN n ON n.a = r.b AND n.doc_id = r.doc_id AND n.page_number = r.page_number), c AS (SELECT doc_id, page_number, a AS id, min(b) AS component FROM r GROUP BY ALL)"
 ORACLES["drawing_components"] = f"WITH RECURSIVE {_C} SELECT * FROM c"
 ORACLES["drawing_figures"] = f"WITH RECURSIVE {_C}, g AS (SELECT doc_id, page_number, component, count(*) AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM c JOIN d USING (doc_id, page_number, id) GROUP BY ALL) SELECT doc_id, page_number, component, n, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM g WHERE n >= 2 AND w * h >= 5000"
-ORACLES["drawing_stars"] = f"WITH {_D} SELECT d.doc_id, d.page_number, id, least(id, coalesce(min(b), id)) AS hub FROM d LEFT JOIN n ON n.a = d.id AND n.doc_id = d.doc_id AND n.page_number = d.page_number GROUP BY ALL"
+ORACLES["drawing_stars"] = f"WITH {_D} SELECT doc_id, page_number, id, least(id, coalesce(b, id)) AS hub FROM d LEFT JOIN (SELECT a AS id, min(b) AS b FROM n GROUP BY a) USING (id)"
 ORACLES["page_reading_order"] = f"WITH {E} SELECT doc_id, page_number, kind, element, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y, x, element) AS place FROM e"

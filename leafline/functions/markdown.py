@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafline.functions.text import stripped
+
 
 def to_text(md: Column) -> Column:
     """Plain text: headings, bold, italics, links and images are undone in this order, which leaves '!alt' of images."""
@@ -46,7 +48,7 @@ def table_markdown(headers: Column, rows: Column) -> Column:
 
 def split_blocks(md: Column) -> Column:
     """Non-blank blocks of a Markdown text, parted by blank lines."""
-    return F.filter(F.transform(F.split(md, r"\r?\n[ \t]*\r?\n"), lambda b: F.trim(b)), lambda b: b != "")
+    return F.filter(F.transform(F.split(md, r"\r?\n[ \t]*\r?\n"), stripped), lambda b: b != "")
 
 
 def block_kind(block: Column) -> Column:

@@ -120,7 +120,7 @@ def type_scores() -> dict[str, Column]:
 def document_types(features: DataFrame) -> DataFrame:
     """``features`` with all type scores, the best type (ties by order of the types; unknown below 0.3) and its confidence."""
     scores = type_scores()
-    named = features.withColumns({f"score_{k}": F.round(v, 6) for k, v in scores.items()})
+    named = features.withColumns({f"score_{k}": F.round(v, 8) for k, v in scores.items()})
     best = F.array_max(F.array(*(F.struct(F.col(f"score_{k}").alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(scores))))
     low = best["s"] < 0.3
     return named.withColumns({"document_type": F.when(low, "unknown").otherwise(best["k"]), "type_confidence": F.when(low, 0.0).otherwise(best["s"])})

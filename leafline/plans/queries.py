@@ -23,9 +23,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def r6(name: str | Column, alias: str | None = None) -> Column:
+def rounded(name: str | Column, alias: str | None = None) -> Column:
     c = F.col(name) if isinstance(name, str) else name
-    return F.round(c, 6).alias(alias or name)
+    return F.round(c, 8).alias(alias or name)
 
 
 def _blocks(spark: SparkSession, root: str) -> DataFrame:
@@ -57,7 +57,7 @@ def spatial_base_topk(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql import Window
 
     t, i = associate.text_box(), associate.image_box()
-    scored = _pairs(spark, root).select("image_id", "block_uid", r6(geometry.base_score(t, i), "score"))
+    scored = _pairs(spark, root).select("image_id", "block_uid", rounded(geometry.base_score(t, i), "score"))
     order = Window.partitionBy("image_id").orderBy(F.desc("score"), "block_uid")
     return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 3")
 
@@ -72,7 +72,7 @@ def _allen(spark: SparkSession, root: str) -> DataFrame:
 def allen_relations(spark: SparkSession, root: str) -> DataFrame:
     t, i = associate.text_box(), associate.image_box()
     score = geometry.direction_score(F.col("confidence"), F.coalesce("direction", F.lit("")))
-    return _allen(spark, root).select("block_uid", "image_id", F.col("h.relation").alias("h_relation"), F.col("v.relation").alias("v_relation"), r6("h.overlap", "h_overlap"), r6("v.overlap", "v_overlap"), "direction", r6("confidence"), r6(geometry.center_distance(t, i), "distance"), r6(score, "direction_score"))
+    return _allen(spark, root).select("block_uid", "image_id", F.col("h.relation").alias("h_relation"), F.col("v.relation").alias("v_relation"), rounded("h.overlap", "h_overlap"), rounded("v.overlap", "v_overlap"), "direction", rounded("confidence"), rounded(geometry.center_distance(t, i), "distance"), rounded(score, "direction_score"))
 
 
 @query
@@ -85,22 +85,22 @@ def spatial_features(spark: SparkSession, root: str) -> DataFrame:
     t, i = associate.text_box(), associate.image_box()
     side = geometry.mean_side(t, i)
     return _pairs(spark, root).select(
-        "block_uid", "image_id", r6(geometry.center_distance(t, i) / side, "center_distance"), r6(geometry.edge_distance(t, i) / side, "edge_distance"), r6(geometry.corner_distance(t, i) / side, "corner_distance"),
-        r6(geometry.size_ratio(t, i), "size_ratio"), r6(geometry.overlap_area(t, i), "overlap_area"), r6(geometry.overlap_share(t, i), "overlap_share"), r6(geometry.angle(t, i), "angle"),
-        geometry.horizontal_alignment(t, i).alias("h_alignment"), geometry.vertical_alignment(t, i).alias("v_alignment"), r6(geometry.alignment_score(t, i), "alignment_score"),
-        geometry.same_row(t, i).alias("same_row"), geometry.same_column(t, i).alias("same_column"), r6(geometry.reading_order(t, i), "reading_order"),
+        "block_uid", "image_id", rounded(geometry.center_distance(t, i) / side, "center_distance"), rounded(geometry.edge_distance(t, i) / side, "edge_distance"), rounded(geometry.corner_distance(t, i) / side, "corner_distance"),
+        rounded(geometry.size_ratio(t, i), "size_ratio"), rounded(geometry.overlap_area(t, i), "overlap_area"), rounded(geometry.overlap_share(t, i), "overlap_share"), rounded(geometry.angle(t, i), "angle"),
+        geometry.horizontal_alignment(t, i).alias("h_alignment"), geometry.vertical_alignment(t, i).alias("v_alignment"), rounded(geometry.alignment_score(t, i), "alignment_score"),
+        geometry.same_row(t, i).alias("same_row"), geometry.same_column(t, i).alias("same_column"), rounded(geometry.reading_order(t, i), "reading_order"),
     )
 
 
 @query
 def vertical_horizontal_scores(spark: SparkSession, root: str) -> DataFrame:
     t, i = associate.text_box(), associate.image_box()
-    return _pairs(spark, root).select("block_uid", "image_id", geometry.vertical_side(t, i).alias("side"), r6(geometry.vertical_score(t, i), "vertical"), r6(geometry.horizontal_score(t, i), "horizontal"), r6(geometry.distance_score(t, i), "distance"))
+    return _pairs(spark, root).select("block_uid", "image_id", geometry.vertical_side(t, i).alias("side"), rounded(geometry.vertical_score(t, i), "vertical"), rounded(geometry.horizontal_score(t, i), "horizontal"), rounded(geometry.distance_score(t, i), "distance"))
 
 
 @query
 def legacy_spatial_score(spark: SparkSession, root: str) -> DataFrame:
-    return _pairs(spark, root).select("block_uid", "image_id", r6(geometry.legacy_score(associate.text_box(), associate.image_box()), "score"))
+    return _pairs(spark, root).select("block_uid", "image_id", rounded(geometry.legacy_score(associate.text_box(), associate.image_box()), "score"))
 
 
 # Captions
@@ -111,7 +111,7 @@ def caption_best(spark: SparkSession, root: str) -> DataFrame:
     t, i = associate.text_box(), associate.image_box()
     found = _pairs(spark, root).withColumn("m", captions.matches(F.col("content"), t, i)).filter(F.size("m") > 0)
     best = F.get("m", F.lit(0))
-    return found.select("block_uid", "image_id", F.size("m").cast("long").alias("n"), best["kind"].alias("kind"), r6(best["confidence"], "confidence"), r6(captions.weighted_score(F.col("m")), "weighted"), geometry.caption_position(t, i).alias("position"))
+    return found.select("block_uid", "image_id", F.size("m").cast("long").alias("n"), best["kind"].alias("kind"), rounded(best["confidence"], "confidence"), rounded(captions.weighted_score(F.col("m")), "weighted"), geometry.caption_position(t, i).alias("position"))
 
 
 @query
@@ -127,7 +127,7 @@ def caption_strong(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def caption_nearest_above(spark: SparkSession, root: str) -> DataFrame:
-    return associate.nearest_above(_pairs(spark, root)).select("block_uid", "image_id", "place", r6("gap"), r6("caption_score"), r6("boosted"), "rank")
+    return associate.nearest_above(_pairs(spark, root)).select("block_uid", "image_id", "place", rounded("gap"), rounded("caption_score"), rounded("boosted"), "rank")
 
 
 @query
@@ -143,17 +143,17 @@ def caption_references(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def layout_columns(spark: SparkSession, root: str) -> DataFrame:
-    return layout.layout_columns(_elements(spark, root), ["doc_id"]).select("doc_id", "layout_type", "column_count", r6("confidence"), r6("page_width"))
+    return layout.layout_columns(_elements(spark, root), ["doc_id"]).select("doc_id", "layout_type", "column_count", rounded("confidence"), rounded("page_width"))
 
 
 @query
 def layout_columns_by_page(spark: SparkSession, root: str) -> DataFrame:
-    return layout.layout_columns(_elements(spark, root), ["doc_id", "page_number"]).select("doc_id", "page_number", "layout_type", "column_count", r6("confidence"))
+    return layout.layout_columns(_elements(spark, root), ["doc_id", "page_number"]).select("doc_id", "page_number", "layout_type", "column_count", rounded("confidence"))
 
 
 @query
 def layout_rows(spark: SparkSession, root: str) -> DataFrame:
-    return layout.layout_pattern(_elements(spark, root), ["doc_id", "page_number"], "element").select("doc_id", "page_number", "rows", "max_columns", r6("avg_columns"), "pattern")
+    return layout.layout_pattern(_elements(spark, root), ["doc_id", "page_number"], "element").select("doc_id", "page_number", "rows", "max_columns", rounded("avg_columns"), "pattern")
 
 
 @query
@@ -166,13 +166,13 @@ def element_columns(spark: SparkSession, root: str) -> DataFrame:
 @query
 def doc_features(spark: SparkSession, root: str) -> DataFrame:
     f = layout.document_features(_elements(spark, root), ["doc_id"])
-    return f.select("doc_id", "total_elements", "text_count", "image_count", r6("text_image_ratio"), "layout_type", "column_count", r6("content_density"), r6("avg_length"), "total_length", r6("length_variation"), r6("avg_image_size"), F.round("image_size_variation", 4).alias("image_size_variation"))
+    return f.select("doc_id", "total_elements", "text_count", "image_count", rounded("text_image_ratio"), "layout_type", "column_count", rounded("content_density"), rounded("avg_length"), "total_length", rounded("length_variation"), rounded("avg_image_size"), F.round("image_size_variation", 4).alias("image_size_variation"))
 
 
 @query
 def doc_type(spark: SparkSession, root: str) -> DataFrame:
     f = layout.document_types(layout.document_features(_elements(spark, root), ["doc_id"]))
-    return f.select("doc_id", *(f"score_{k}" for k in layout.type_scores()), "document_type", r6("type_confidence"))
+    return f.select("doc_id", *(f"score_{k}" for k in layout.type_scores()), "document_type", rounded("type_confidence"))
 
 
 # Association
@@ -181,24 +181,24 @@ def doc_type(spark: SparkSession, root: str) -> DataFrame:
 @query
 def intervening_penalty(spark: SparkSession, root: str) -> DataFrame:
     pairs = associate.with_intervening(_pairs(spark, root), _elements(spark, root))
-    return pairs.select("block_uid", "image_id", r6("between"), r6("intervening_penalty"))
+    return pairs.select("block_uid", "image_id", rounded("between"), rounded("intervening_penalty"))
 
 
 @query
 def intervening_penalty_page(spark: SparkSession, root: str) -> DataFrame:
     pairs = associate.with_intervening(_pairs(spark, root), _elements(spark, root), "page")
-    return pairs.select("block_uid", "image_id", r6("between"), r6("intervening_penalty"))
+    return pairs.select("block_uid", "image_id", rounded("between"), rounded("intervening_penalty"))
 
 
 @query
 def enhanced_spatial(spark: SparkSession, root: str) -> DataFrame:
     scored = associate.enhanced(_blocks(spark, root), _images(spark, root))
-    return scored.select("block_uid", "image_id", *(r6(c) for c in ("vertical_score", "horizontal_score", "distance_score", "alignment_score", "layout_penalty", "intervening_penalty", "spatial_score")))
+    return scored.select("block_uid", "image_id", *(rounded(c) for c in ("vertical_score", "horizontal_score", "distance_score", "alignment_score", "layout_penalty", "intervening_penalty", "spatial_score")))
 
 
 @query
 def candidate_rank(spark: SparkSession, root: str) -> DataFrame:
-    return _ranked(spark, root).select("block_uid", "image_id", r6("base_score"), r6("final_score"), r6("confidence"), "quality", "rank", "is_recommended")
+    return _ranked(spark, root).select("block_uid", "image_id", rounded("base_score"), rounded("final_score"), rounded("confidence"), "quality", "rank", "is_recommended")
 
 
 @query
@@ -210,13 +210,13 @@ def candidate_reasoning(spark: SparkSession, root: str) -> DataFrame:
 def association_score(spark: SparkSession, root: str) -> DataFrame:
     """The production score without the semantic part."""
     scored = associate.associate(_ranked(spark, root), semantic=False)
-    return scored.select("block_uid", "image_id", r6("score"), "association_type", associate.level(F.col("score")).alias("level"))
+    return scored.select("block_uid", "image_id", rounded("score"), "association_type", associate.level(F.col("score")).alias("level"))
 
 
 @query
 def association_score_semantic(spark: SparkSession, root: str) -> DataFrame:
     """The production score with text similarity, which SQL lacks."""
-    return associate.associate(_ranked(spark, root)).select("block_uid", "image_id", r6("semantic_score"), r6("score"), "association_type")
+    return associate.associate(_ranked(spark, root)).select("block_uid", "image_id", rounded("semantic_score"), rounded("score"), "association_type")
 
 
 def _pruned(spark: SparkSession, root: str, p: Pruning) -> DataFrame:
@@ -225,7 +225,7 @@ def _pruned(spark: SparkSession, root: str, p: Pruning) -> DataFrame:
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "block_uid", "image_id", r6("final_score"), r6("adjusted_score"), "quality", "caption_boosted", "image_rank")
+    return df.select("doc_id", "block_uid", "image_id", rounded("final_score"), rounded("adjusted_score"), "quality", "caption_boosted", "image_rank")
 
 
 @query
@@ -246,12 +246,12 @@ def assoc_optimize_lenient(spark: SparkSession, root: str) -> DataFrame:
 @query
 def assoc_metrics(spark: SparkSession, root: str) -> DataFrame:
     found = prune.metrics(table(spark, root, "associations"), _pruned(spark, root, BALANCED))
-    return found.select("n_before", r6("mean_before"), "n_after", r6("mean_after"), "excellent", "good", "fair", "poor", "boosted", r6("reduction"))
+    return found.select("n_before", rounded("mean_before"), "n_after", rounded("mean_after"), "excellent", "good", "fair", "poor", "boosted", rounded("reduction"))
 
 
 @query
 def assoc_summary(spark: SparkSession, root: str) -> DataFrame:
-    return stats.association_summary(table(spark, root, "associations"), "doc_id").withColumn("mean_score", r6("mean_score"))
+    return stats.association_summary(table(spark, root, "associations"), "doc_id").withColumn("mean_score", rounded("mean_score"))
 
 
 @query
@@ -263,7 +263,7 @@ def assoc_merged_scores(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def weight_profiles(spark: SparkSession, root: str) -> DataFrame:
-    rows = [(k, *(round(x, 6) for x in ranker_weights(k)), DOCUMENT_WEIGHTS[k][4]) for k in DOCUMENT_WEIGHTS]
+    rows = [(k, *(round(x, 8) for x in ranker_weights(k)), DOCUMENT_WEIGHTS[k][4]) for k in DOCUMENT_WEIGHTS]
     return spark.createDataFrame(rows, "kind string, spatial double, caption double, semantic double, boost double")
 
 
@@ -454,7 +454,7 @@ def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
     """The five nearest of every 50th vector among all, by (cosine + 1) / 2."""
     vectors = table(spark, root, "embeddings")
     asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
-    return search.nearest(vectors, "vec_id", "embedding", asked, 5).select("query", "item", r6("similarity"), "rank")
+    return search.nearest(vectors, "vec_id", "embedding", asked, 5).select("query", "item", rounded("similarity"), "rank")
 
 
 def _kb(spark: SparkSession, root: str) -> DataFrame:
@@ -475,17 +475,17 @@ def kb_facets(spark: SparkSession, root: str) -> DataFrame:
 @query
 def kb_filter_search(spark: SparkSession, root: str) -> DataFrame:
     found = search.search(_kb(spark, root), "folding layout", filters={"file_format": ["pdf", "docx"]}, k=20)
-    return found.withColumn("score", r6("score"))
+    return found.withColumn("score", rounded("score"))
 
 
 @query
 def kb_association_search(spark: SparkSession, root: str) -> DataFrame:
-    return search.search(_kb(spark, root), "caption column", "association", k=20).withColumn("score", r6("score"))
+    return search.search(_kb(spark, root), "caption column", "association", k=20).withColumn("score", rounded("score"))
 
 
 @query
 def kb_association_scores(spark: SparkSession, root: str) -> DataFrame:
-    return search.association_scores(_kb(spark, root)).select("document_id", F.col("n").cast("long").alias("n"), r6("best"), r6("mean"))
+    return search.association_scores(_kb(spark, root)).select("document_id", F.col("n").cast("long").alias("n"), rounded("best"), rounded("mean"))
 
 
 @query
@@ -535,7 +535,7 @@ def image_size_buckets(spark: SparkSession, root: str) -> DataFrame:
 def image_fit(spark: SparkSession, root: str) -> DataFrame:
     once = _images(spark, root).filter("width > 0 and height > 0").select("id", "width", "height").distinct()
     w, h = F.col("width"), F.col("height")
-    return once.select("id", images.fit(w, h).alias("f"), r6(images.aspect_ratio(w, h), "aspect"), r6(images.megapixels(w, h), "megapixels")).select("id", F.col("f.width").alias("fit_width"), F.col("f.height").alias("fit_height"), "aspect", "megapixels")
+    return once.select("id", images.fit(w, h).alias("f"), rounded(images.aspect_ratio(w, h), "aspect"), rounded(images.megapixels(w, h), "megapixels")).select("id", F.col("f.width").alias("fit_width"), F.col("f.height").alias("fit_height"), "aspect", "megapixels")
 
 
 @query
@@ -626,7 +626,7 @@ def client_keys(spark: SparkSession, root: str) -> DataFrame:
 @query
 def bench_summary(spark: SparkSession, root: str) -> DataFrame:
     found = stats.timings(table(spark, root, "events"), "event_type", "value")
-    return found.select("event_type", "n", r6("low"), r6("high"), r6("mean"), r6("spread"))
+    return found.select("event_type", "n", rounded("low"), rounded("high"), rounded("mean"), rounded("spread"))
 
 
 # Figures made of drawings
@@ -647,7 +647,7 @@ def drawing_components(spark: SparkSession, root: str) -> DataFrame:
 def drawing_figures(spark: SparkSession, root: str) -> DataFrame:
     held = _drawings(spark, root)
     groups = components.components(held, ["doc_id", "page_number"], "id", 250.0)
-    return components.group_boxes(held, groups, ["doc_id", "page_number"], "id", least=2, area=5000.0).select("doc_id", "page_number", "component", "n", *(r6(c) for c in "xywh"))
+    return components.group_boxes(held, groups, ["doc_id", "page_number"], "id", least=2, area=5000.0).select("doc_id", "page_number", "component", "n", *(rounded(c) for c in "xywh"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.config import CAPTION_PATTERNS, POSITION_FACTORS, STRONG_INDICATORS, TYPE_FACTORS, Pattern
@@ -31,25 +31,33 @@ def is_strong(text: Column) -> Column:
     return text.rlike("(?iU)" + "|".join(STRONG_INDICATORS))
 
 
-def confidence(pattern: Pattern, text: Column, box: Box, image: Box) -> Column:
-    """Confidence of a match of ``pattern``: base times position, distance and length factors."""
-    position = caption_position(box, image)
-    by_position = F.coalesce(*(F.when(position == k, v) for k, v in POSITION_FACTORS.items()))
+#: Columns that ``with_factors`` adds; each is used by all patterns, so it is computed once and not inlined.
+POSITION, NEARNESS, SIZE = "_position", "_nearness", "_size"
+
+
+def with_factors(df: DataFrame, text: str, box: Box, image: Box) -> DataFrame:
+    """``df`` with what the confidence of every pattern needs: position, distance factor and length of the text."""
     nd = center_distance(box, image) / F.greatest((image.width + image.height) / 2, num(1))
-    by_distance = F.when(nd > 2, F.greatest(num(0.5), 1 - (nd - 2) * 0.1)).otherwise(1.0)
-    size = F.length(stripped(text))
-    by_length = num(1)
+    near = F.when(nd > 2, F.greatest(num(0.5), 1 - (nd - 2) * 0.1)).otherwise(1.0)
+    return df.withColumns({POSITION: caption_position(box, image), NEARNESS: near, SIZE: F.length(stripped(F.col(text)))})
+
+
+def confidence(pattern: Pattern) -> Column:
+    """Confidence of a match of ``pattern``: base times position, distance and length factors; see ``with_factors``."""
+    by_position = F.coalesce(*(F.when(F.col(POSITION) == k, v) for k, v in POSITION_FACTORS.items()))
+    size, by_length = F.col(SIZE), num(1)
     if pattern.kind == "title":
         by_length = F.when(size.between(10, 100), 1.1).when((size < 5) | (size > 200), 0.7).otherwise(1.0)
     elif pattern.kind in ("figure_number", "table_number"):
         by_length = F.when(size <= 50, 1.1).otherwise(0.8)
-    return clamp(num(pattern.base) * by_position * by_distance * by_length, 0.1, 1.0)
+    return clamp(num(pattern.base) * by_position * F.col(NEARNESS) * by_length, 0.1, 1.0)
 
 
-def matches(text: Column, box: Box, image: Box, patterns: Sequence[Pattern] = CAPTION_PATTERNS) -> Column:
-    """Array of (confidence, ord, kind), best first, of the patterns that match; ``ord`` is minus the pattern's place."""
-    found = F.array(*(F.when(has_match(text, p), F.struct(confidence(p, text, box, image).alias("confidence"), F.lit(-k).alias("ord"), F.lit(p.kind).alias("kind"))) for k, p in enumerate(patterns)))
-    return F.sort_array(F.array_compact(found), asc=False)
+def with_matches(df: DataFrame, text: str, box: Box, image: Box, name: str = "matches", patterns: Sequence[Pattern] = CAPTION_PATTERNS) -> DataFrame:
+    """``df`` with the array of (confidence, ord, kind), best first, of the patterns that match; ``ord`` is minus the pattern's place."""
+    factors = with_factors(df, text, box, image)
+    found = F.array(*(F.when(has_match(F.col(text), p), F.struct(confidence(p).alias("confidence"), F.lit(-k).alias("ord"), F.lit(p.kind).alias("kind"))) for k, p in enumerate(patterns)))
+    return factors.withColumn(name, F.sort_array(F.array_compact(found), asc=False)).drop(POSITION, NEARNESS, SIZE)
 
 
 def best_score(found: Column) -> Column:

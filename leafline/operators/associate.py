@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafline.config import DOCUMENT_WEIGHTS, Weights, ranker_weights
 from leafline.functions import geometry as G
-from leafline.functions.captions import best_score, is_strong, matches
+from leafline.functions.captions import best_score, is_strong, with_matches
 from leafline.functions.geometry import Box, num
 from leafline.functions.similarity import sequence_ratio
 from leafline.operators.layout import boxes, column_of, document_features, document_types, layout_columns
@@ -24,17 +24,17 @@ def image_box() -> Box:
 
 
 def placed_blocks(blocks: DataFrame) -> DataFrame:
-    """Text blocks with a box, once each: (block_uid, doc_id, page_number, text_id, content, tx, ty, tw, th)."""
+    """Text blocks with a box, once each (whole rows come twice, so distinct rows are distinct blocks, and a hash does): (block_uid, doc_id, page_number, text_id, content, tx, ty, tw, th)."""
     b = Box.of("bbox")
     narrow = blocks.filter(F.col("bbox").isNotNull()).select("block_uid", "doc_id", "page_number", F.col("id").alias("text_id"), F.coalesce("content", F.lit("")).alias("content"), b.left.alias("tx"), b.top.alias("ty"), b.width.alias("tw"), b.height.alias("th"))
-    return narrow.dropDuplicates(["block_uid"])
+    return narrow.distinct()
 
 
 def placed_images(images: DataFrame) -> DataFrame:
     """Images with a box, once each, without their bytes: (image_id, doc_id, page_number, alt_text, ix, iy, iw, ih)."""
     b = Box.of("bbox")
     narrow = images.filter(F.col("bbox").isNotNull()).select(F.col("id").alias("image_id"), "doc_id", "page_number", "alt_text", b.left.alias("ix"), b.top.alias("iy"), b.width.alias("iw"), b.height.alias("ih"))
-    return narrow.dropDuplicates(["image_id"])
+    return narrow.distinct()
 
 
 def candidates(blocks: DataFrame, images: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def elements(blocks: DataFrame, images: DataFrame) -> DataFrame:
     """Boxes of both kinds: (doc_id, page_number, kind, element, x, y, w, h, length)."""
     t = boxes(blocks.select("doc_id", "page_number", F.lit("text").alias("kind"), F.col("block_uid").cast("string").alias("element"), "bbox", F.length(F.coalesce("content", F.lit(""))).alias("length")))
     i = boxes(images.select("doc_id", "page_number", F.lit("image").alias("kind"), F.col("id").alias("element"), "bbox", F.lit(0).alias("length")))
-    return t.unionByName(i).drop("bbox").dropDuplicates(["kind", "element"])
+    return t.unionByName(i).drop("bbox").distinct()
 
 
 def with_intervening(pairs: DataFrame, others: DataFrame, scope: str = "doc") -> DataFrame:
@@ -108,7 +108,8 @@ def rank_candidates(scored: DataFrame, types: DataFrame) -> DataFrame:
     images have no description. Ties: higher base score, then the smaller block_uid.
     """
     t, i = text_box(), image_box()
-    typed = scored.join(types.select("doc_id", "document_type"), "doc_id", "left").withColumn("caption_score", best_score(matches(F.col("content"), t, i)))
+    matched = with_matches(scored, "content", t, i)
+    typed = matched.join(types.select("doc_id", "document_type"), "doc_id", "left").withColumn("caption_score", best_score(F.col("matches"))).drop("matches")
     kind = F.coalesce("document_type", F.lit("unknown"))
     base = typed.withColumn("base_score", F.col("spatial_score") * by_type(kind, 0) + F.col("caption_score") * by_type(kind, 1))
     above = (F.col("caption_score") > 0.3) & (t.bottom <= i.top) & (i.top - t.bottom <= i.height * 2)
@@ -141,7 +142,7 @@ def nearest_above(pairs: DataFrame) -> DataFrame:
     scores fall. The result isn't clamped.
     """
     t, i = text_box(), image_box()
-    scored = pairs.withColumn("caption_score", best_score(matches(F.col("content"), t, i))).filter("caption_score > 0")
+    scored = with_matches(pairs, "content", t, i).withColumn("caption_score", best_score(F.col("matches"))).drop("matches").filter("caption_score > 0")
     place = F.when(t.bottom <= i.top, "above").when(t.top >= i.bottom, "below").otherwise("overlap")
     gap = F.when(place == "above", i.top - t.bottom).when(place == "below", t.top - i.bottom).otherwise(0.0)
     placed = scored.withColumns({"place": place, "gap": gap})

@@ -109,7 +109,7 @@ def legacy_spatial_score(spark: SparkSession, root: str) -> DataFrame:
 @query
 def caption_best(spark: SparkSession, root: str) -> DataFrame:
     t, i = associate.text_box(), associate.image_box()
-    found = _pairs(spark, root).withColumn("m", captions.matches(F.col("content"), t, i)).filter(F.size("m") > 0)
+    found = captions.with_matches(_pairs(spark, root), "content", t, i, "m").filter(F.size("m") > 0)
     best = F.get("m", F.lit(0))
     return found.select("block_uid", "image_id", F.size("m").cast("long").alias("n"), best["kind"].alias("kind"), rounded(best["confidence"], "confidence"), rounded(captions.weighted_score(F.col("m")), "weighted"), geometry.caption_position(t, i).alias("position"))
 

@@ -136,4 +136,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the problems it can express; the others are tested against brute force."""
+    marks = ".!?;:,。！？；：，、"
+    top = """WITH a AS (SELECT image_id, block_uid, max(relevance_score) AS s FROM associations WHERE image_id IS NOT NULL AND NOT isnan(relevance_score) AND relevance_score BETWEEN 0 AND 1 GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, block_uid) AS rank FROM a QUALIFY rank <= 5)"""
+    return {
+        "p1_found": f"""WITH i AS (SELECT DISTINCT 'text_blocks' AS item_table, block_uid::VARCHAR AS item_id, content AS t FROM text_blocks UNION ALL SELECT DISTINCT 'tasks', task_id, markdown_content FROM tasks)
+SELECT item_table, item_id, CASE WHEN regexp_matches(t, '[^\\s\\p{{Z}}{marks}]{{801}}') THEN 'forced' ELSE 'natural' END AS cut FROM i WHERE length(t) > 1000""",
+        "p2_found": f"{top} SELECT image_id, block_uid FROM k",
+        "p2_top": f"{top} SELECT image_id, block_uid, s AS relevance_score, rank FROM k",
+    }

@@ -70,3 +70,46 @@ def parse_comments(md: Column) -> Column:
     part = lambda k: F.regexp_extract_all(md, F.lit(ASSOCIATION), F.lit(k))
     zipped = F.arrays_zip(part(1).alias("text_block_id"), part(2).alias("image_id"), part(3).alias("score"), part(4).alias("association_type"))
     return F.transform(zipped, lambda z: F.struct(z["text_block_id"].alias("text_block_id"), z["image_id"].alias("image_id"), z["score"].cast("double").alias("final_score"), z["association_type"].alias("association_type")))
+
+
+IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
+
+
+def image_urls(md: Column) -> Column:
+    return F.regexp_extract_all(md, F.lit(IMAGE), F.lit(2))
+
+
+def invalid_urls(md: Column) -> Column:
+    """Image links that are neither URLs with a host nor start with ``./``."""
+    return F.filter(image_urls(md), lambda u: ~(u.startswith("./") | u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")))
+
+
+def rewrite_images(df: DataFrame, key: str, md: str, mapping: DataFrame) -> DataFrame:
+    """(key, md) with the image links of ``mapping`` (path, url) replaced; other links stay. Keys are unique."""
+    form = F.lit(IMAGE)
+    cut = df.select(F.col(key).alias("k"), F.split(md, IMAGE, -1).alias("between"), F.regexp_extract_all(md, form, F.lit(1)).alias("alts"), F.regexp_extract_all(md, form, F.lit(2)).alias("urls"))
+    links = cut.select("k", F.posexplode(F.arrays_zip("alts", "urls")).alias("pos", "l")).select("k", "pos", F.col("l.alts").alias("alt"), F.col("l.urls").alias("path"))
+    made = links.join(mapping.select("path", "url"), "path", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("!["), F.col("alt"), F.lit("]("), F.coalesce("url", "path"), F.lit(")")).alias("link")))).alias("made"))
+    joined = cut.join(made, "k", "left").select("k", "between", F.coalesce(F.transform("made", lambda m: m["link"]), F.array().cast("array<string>")).alias("links"))
+    text = F.array_join(F.zip_with("between", "links", lambda b, l: F.concat(b, F.coalesce(l, F.lit("")))), "")
+    return joined.select(F.col("k").alias(key), text.alias(md))
+
+
+def issues(md: Column) -> Column:
+    """What is wrong with a Markdown text: empty, without headings, empty image links, control characters."""
+    return F.array_compact(F.array(
+        F.when(F.trim(md) == "", "empty"), F.when(~md.rlike(r"(?m)^\s*#"), "no heading"), F.when(md.rlike(r"!\[[^\]]*\]\(\s*\)"), "empty link"), F.when(md.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "control characters"),
+    ))
+
+
+def to_html(md: Column) -> Column:
+    """Headings, list items and paragraphs as HTML, one block a line; signs are escaped, inline marks are undone."""
+    safe = F.replace(F.replace(F.replace(md, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def one(b: Column) -> Column:
+        depth = F.length(F.regexp_extract(b, r"^(#{1,6})\s", 1))
+        body = F.regexp_replace(F.regexp_replace(b, r"^(#{1,6}|[-*+•]|\d+[.)])\s+", ""), r"\*\*(.*?)\*\*", "<strong>$1</strong>")
+        tag = F.when(depth > 0, F.concat(F.lit("h"), depth.cast("string"))).when(b.rlike(r"^([-*+•]|\d+[.)])\s"), "li").otherwise("p")
+        return F.concat(F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">"))
+
+    return F.array_join(F.transform(split_blocks(safe), one), "\n")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.config import Index
-from leafline.functions.similarity import dot
 
 
 def current(documents: DataFrame, key: str = "document_id") -> DataFrame:
@@ -76,21 +77,43 @@ def association_scores(documents: DataFrame) -> DataFrame:
     return documents.select("document_id", values.alias("v")).select("document_id", F.size("v").alias("n"), F.coalesce(F.array_max("v"), F.lit(0.0)).alias("best"), F.coalesce(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("v"), F.lit(0)), F.lit(0.0)).alias("mean"))
 
 
-def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(query, item, similarity, rank): the k nearest of a stated, small set of queries among all vectors, by (cosine + 1) / 2.
+def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, k: int, dimension: int, block: int = 1024, chunk: int = 8192) -> DataFrame:
+    """(query, item, similarity, rank): the k nearest of a stated set of queries among all vectors, by (cosine + 1) / 2.
 
-    ``queries`` (query, qvec) are sent to all vectors in blocks of at most ``block``; each task keeps its own k best of
-    each query before anything is shuffled. Zero and null vectors have similarity 0 and rank last.
+    ``queries`` has query and qvec. Queries meet vectors in blocks of about ``block`` by ``chunk``, one matrix product each, and
+    only the k best of a query in a block go on; so memory is bounded at any number of either. Zero vectors have
+    similarity 0. Vectors of another length than ``dimension`` and null ones take no part; ties go to the smaller item.
     """
-    rows = queries.collect()
-    if len(rows) > block:
-        raise ValueError(f"more than {block} queries; split them or use the vector index")
-    sent = vectors.sparkSession.createDataFrame(rows, queries.schema) if rows else queries
-    pairs = vectors.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("vn")).join(F.broadcast(sent.withColumn("qn", F.sqrt(dot(F.col("qvec"), F.col("qvec"))))), F.col("item") != F.col("query"))
-    cosine = dot(F.col("v"), F.col("qvec")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0))
-    scored = pairs.select("query", "item", F.coalesce(F.greatest(F.lit(0.0), (cosine + 1) / 2), F.lit(0.0)).alias("similarity"))
+    blocks = max(1, -(-queries.count() // block))
+    chunks = max(1, -(-vectors.count() // chunk))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    data = vectors.filter((F.size(vector) == dimension) & F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(vector).alias("v"), part(item, chunks).alias("c"), every(blocks).alias("b"))
+    asked = queries.filter((F.size("qvec") == dimension) & F.col("query").isNotNull()).select("query", "qvec", part("query", blocks).alias("b"), every(chunks).alias("c"))
+    kind = vectors.schema[item].dataType.simpleString()
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.nan_to_num(np.array(column.tolist(), np.float64).reshape(-1, dimension))
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def score(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(wanted):
+            return pd.DataFrame({"query": [], "item": [], "similarity": []})
+        held = held.sort_values("item", kind="stable")
+        x, y = unit(held["v"]), unit(wanted["qvec"])
+        zero = ~x.any(axis=1)[None, :] | ~y.any(axis=1)[:, None]
+        found = np.where(zero, 0.0, np.maximum(0.0, (y @ x.T + 1) / 2))
+        items, names = held["item"].to_numpy(), wanted["query"].to_numpy()
+        found[names[:, None] == items[None, :]] = -1.0
+        top = np.argsort(-found, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(found, top, 1)
+        out = pd.DataFrame({"query": np.repeat(names, top.shape[1]), "item": items[top].ravel(), "similarity": best.ravel()})
+        return out[out["similarity"] >= 0]
+
+    pairs = data.groupBy("b", "c").cogroup(asked.groupBy("b", "c")).applyInPandas(score, f"query {kind}, item {kind}, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "item")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str = "document_id") -> DataFrame:
@@ -108,7 +131,7 @@ def remove(target: DataFrame, keys: DataFrame, key: str = "document_id") -> Data
 def context(requests: DataFrame, tasks: DataFrame, documents: DataFrame) -> DataFrame:
     """(request_id, prompt): the Markdown of the requested documents in request order, from each one's first completed task.
 
-    ``requests`` has request_id and document_ids; documents without a completed task are left out.
+    ``requests`` has request_id and document_ids, a short list; documents without a completed task are left out.
     """
     order = Window.partitionBy("document_id").orderBy("completed_at", "task_id")
     done = tasks.filter("status = 'completed' and markdown_content is not null").withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("document_id", "markdown_content")

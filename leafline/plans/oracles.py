@@ -288,7 +288,7 @@ ORACLES["kb_association_scores"] = f"WITH {KB} SELECT document_id, len({_stored}
 ORACLES["kb_upsert"] = f"WITH {KB} SELECT document_id, title, CASE status WHEN 'deleted' THEN 'pending' ELSE status END AS status, version + (status = 'deleted')::INT AS version FROM kb"
 ORACLES["kb_remove"] = f"WITH {KB} SELECT document_id, status FROM kb WHERE status <> 'deleted'"
 ORACLES["rag_context"] = """WITH done AS (SELECT document_id, markdown_content FROM tasks WHERE status = 'completed' AND markdown_content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY completed_at, task_id) = 1),
- p AS (SELECT author, '## 文檔: ' || filename || chr(10) || chr(10) || markdown_content AS part, created_at, doc_id FROM (SELECT DISTINCT author, doc_id, filename, created_at FROM doc_meta WHERE author IS NOT NULL) JOIN done ON document_id = doc_id),
+ p AS (SELECT author, '## 文檔: ' || filename || chr(10) || chr(10) || markdown_content AS part, created_at, doc_id FROM (SELECT * FROM (SELECT DISTINCT author, doc_id, filename, created_at FROM doc_meta WHERE author IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY author ORDER BY created_at DESC, doc_id DESC) <= 20) JOIN done ON document_id = doc_id),
  c AS (SELECT author AS request_id, string_agg(part, chr(10) || chr(10) ORDER BY created_at DESC, doc_id DESC) AS prompt FROM p GROUP BY author) SELECT request_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM c"""
 ORACLES["chat_tokens"] = "SELECT coalesce(source, 'none') AS source, (sum(coalesce(length(text) // 4, 0) + 3) + 3)::BIGINT AS tokens FROM documents GROUP BY 1"
 

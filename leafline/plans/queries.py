@@ -454,7 +454,7 @@ def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
     """The five nearest of every 50th vector among all, by (cosine + 1) / 2."""
     vectors = table(spark, root, "embeddings")
     asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
-    return search.nearest(vectors, "vec_id", "embedding", asked, 5).select("query", "item", rounded("similarity"), "rank")
+    return search.nearest(vectors, "vec_id", "embedding", asked, 5, 64).select("query", "item", rounded("similarity"), "rank")
 
 
 def _kb(spark: SparkSession, root: str) -> DataFrame:
@@ -504,9 +504,13 @@ def kb_remove(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def rag_context(spark: SparkSession, root: str) -> DataFrame:
-    """One prompt for each author of all their documents, the newest first."""
+    """One prompt for each author of their 20 newest documents, the newest first."""
+    from pyspark.sql import Window
+
     meta = table(spark, root, "doc_meta").filter("author is not null").select("author", "doc_id", "created_at").distinct()
-    asked = meta.groupBy(F.col("author").alias("request_id")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "doc_id")))).alias("d")).select("request_id", F.transform("d", lambda d: d["doc_id"]).alias("document_ids"))
+    newest = Window.partitionBy("author").orderBy(F.desc("created_at"), F.desc("doc_id"))
+    few = meta.withColumn("k", F.row_number().over(newest)).filter("k <= 20")
+    asked = few.groupBy(F.col("author").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("k", "doc_id"))).alias("d")).select("request_id", F.transform("d", lambda d: d["doc_id"]).alias("document_ids"))
     made = search.context(asked, table(spark, root, "tasks"), table(spark, root, "doc_meta"))
     return made.select("request_id", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("digest"))
 

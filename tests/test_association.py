@@ -117,7 +117,7 @@ def test_pruning_is_idempotent_and_bounded(spark):
 
 
 def test_the_same_result_with_any_number_of_partitions(spark, data):
-    from leafline.plans.queries import QUERIES
+    from leafline.plans.registry import QUERIES
 
     found = []
     for n in ("1", "7"):

@@ -55,12 +55,22 @@ def test_upsert_and_remove(spark):
     assert sorted(r[0] for r in search.remove(found, new).collect()) == ["b"]
 
 
-def test_nearest_takes_few_queries_only(spark):
-    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(6)] + [(9, None), (8, [0.0, 0.0])], "id long, v array<float>")
-    asked = v.filter("id = 1").select(F.col("id").alias("query"), F.col("v").alias("qvec"))
-    assert [r["item"] for r in search.nearest(v, "id", "v", asked, 2).orderBy("rank").collect()] == [2, 3]
-    with pytest.raises(ValueError):
-        search.nearest(v, "id", "v", asked, 2, block=0)
+def test_nearest_in_blocks(spark):
+    rnd = random.Random(7)
+    rows = [(k, [rnd.gauss(0, 1) for _ in range(4)]) for k in range(120)] + [(200, [0.0] * 4)]
+    v = spark.createDataFrame([*rows, (201, None), (202, [1.0]), (None, [1.0] * 4)], "id long, v array<double>")
+    asked = v.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("v").alias("qvec"))
+
+    def cosine(a, b):
+        na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
+        return max(0.0, (sum(x * y for x, y in zip(a, b)) / na / nb + 1) / 2) if na and nb else 0.0
+
+    want = {q: [i for _, i in sorted((-round(cosine(x, y), 12), i) for i, y in rows if i != q)[:3]] for q, x in rows if q % 50 == 0}
+    found: dict = {}
+    for r in search.nearest(v, "id", "v", asked, 3, 4, block=2, chunk=30).orderBy("query", "rank").collect():
+        found.setdefault(r["query"], []).append(r["item"])
+    assert found == want
+    assert search.nearest(v.limit(0), "id", "v", asked.limit(0), 3, 4).count() == 0
 
 
 def test_filters_ignore_other_kinds(spark):

@@ -9,8 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from leafline.plans.oracles import ORACLES
-from leafline.plans.queries import QUERIES
+from leafline.plans.registry import ORACLES, QUERIES
 
 
 def plain(v):

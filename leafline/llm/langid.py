@@ -39,6 +39,7 @@ SPACELESS = "぀-ヿ㐀-鿿豈-﫿々"
 TOKEN = re.compile(rf"[{SPACELESS}]+|[^\W{SPACELESS}](?:[^\s{SPACELESS}]*[^\W{SPACELESS}])?")
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d")
+HAS_SPACELESS = re.compile(f"[{SPACELESS}]")
 SENTENCE_END = re.compile(r"[.!?]+(?:\s+|$)|[。！？]+\s*")
 START = b"\x00"
 
@@ -130,27 +131,52 @@ def path(bits: np.ndarray) -> np.ndarray:
 
 
 class Labeller:
+    """Labels batches of texts. Runs between spaces are scored once and kept with their code lengths and number of letters.
+
+    Runs in scripts without spaces, and such that are no words, are put together from parts and aren't kept whole.
+    """
+
     def __init__(self, models: Models):
         self.models = models
         self.index: dict[str, int] = {}
-        self.bits = np.zeros((1024, len(models.langs)))
-
-    def _ids(self, words: list[str]) -> list[int]:
-        index = self.index
-        for w in set(words).difference(index):
-            if len(index) == len(self.bits):
-                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
-            self.bits[len(index)] = self.models.bits(w)
-            index[w] = len(index)
-        return [index[w] for w in words]
+        self.letters: list[int] = []
+        self.rows = np.zeros((1024, len(models.langs)), np.float32)
+
+    def _row(self, key: str, bits: list[float] | np.ndarray, letters: int) -> int:
+        at = self.index[key] = len(self.letters)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = bits
+        self.letters.append(letters)
+        return at
+
+    def _units(self, run: str) -> list[int]:
+        known, made = self.index, units(run)
+        for u in set(made).difference(known):
+            self._row(u, self.models.bits(u), len(u.rpartition("\t")[2]))
+        return [known[u] for u in made]
+
+    def _new(self, run: str) -> list[int]:
+        """Rows of a run that isn't known."""
+        parts = self._units(run)
+        letters = count_letters(run)
+        if len(run) <= LONGEST_WORD and not HAS_SPACELESS.search(run) and not DIGIT.search(run):
+            return [self._row(run, self.rows[parts].sum(0), letters)]
+        left = letters - sum(map(self.letters.__getitem__, parts))
+        if left:
+            key = f"\n{left}"
+            parts.append(self.index[key] if key in self.index else self._row(key, np.zeros(len(self.models.langs)), left))
+        return parts
 
     def label(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float, int, int]]]:
         """For each text its stretches: (start, end, language or -1, confidence, letters of the text, languages of it)."""
         if len(self.index) > CACHE_ENTRIES:
-            self.index.clear()
+            self.__init__(self.models)
         spans: list[list[tuple[int, int]]] = []
         ids: list[int] = []
         ends: list[int] = []
+        exact: list[int] = []
+        known = self.index.get
         for t in texts:
             own = []
             t, start = t or "", 0
@@ -161,29 +187,44 @@ class Labeller:
                 sentence = t[start:end]
                 own.append((start, end))
                 start = end
-                ids.extend(self._ids(units(sentence if clean else table_form(sentence))))
+                runs = (sentence if clean else table_form(sentence)).lower().split()
+                found = [known(r, -1) for r in runs]
+                if -1 in found:
+                    for run, at in zip(runs, found):
+                        if at < 0:
+                            ids.extend(self._new(run))
+                        else:
+                            ids.append(at)
+                else:
+                    ids.extend(found)
                 ends.append(len(ids))
+                exact.append(-1 if clean else count_letters(sentence))
             spans.append(own)
-        total = np.concatenate([np.zeros((1, self.bits.shape[1])), np.cumsum(self.bits[ids], axis=0)]) if ids else np.zeros((1, self.bits.shape[1]))
         edges = np.array([0, *ends])
-        each = total[edges[1:]] - total[edges[:-1]]
+        starts, empty = edges[:-1], edges[1:] == edges[:-1]
+        at_all = np.array([*ids, 0], np.int64)  # one more row, for sentences without any at the end
+        each = np.add.reduceat(self.rows[at_all], starts, axis=0) if ends else np.zeros((0, self.rows.shape[1]))
+        sizes = np.add.reduceat(np.array(self.letters or [0])[at_all], starts) if ends else np.zeros(0, np.int64)
+        if ends and not empty[-1]:  # the extra row went into the last sentence
+            each[-1] -= self.rows[0]
+            sizes[-1] -= self.letters[0]
+        each[empty], sizes[empty] = 0, 0
+        sizes = np.where(np.array(exact, np.int64) >= 0, exact, sizes) if ends else sizes
         out, at = [], 0
-        for t, own in zip(texts, spans):
-            bits = each[at : at + len(own)]
+        for own in spans:
+            out.append(self._stretches(own, each[at : at + len(own)], sizes[at : at + len(own)]))
             at += len(own)
-            out.append(self._stretches(t or "", own, bits))
         return out
 
-    def _stretches(self, text: str, own: list[tuple[int, int]], bits: np.ndarray) -> list[tuple[int, int, int, float, int, int]]:
-        letters = count_letters(text)
+    def _stretches(self, own: list[tuple[int, int]], bits: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, float, int, int]]:
+        letters = int(sizes.sum())
         end = own[-1][1] if own else 0
-        if not letters or not bits.any():
-            return [(0, end, -1, 0.0, letters, 0)]
         whole = bits.sum(0)
+        if not letters or whole.max(initial=0.0) < 1e-3:
+            return [(0, end, -1, 0.0, letters, 0)]
         first = int(whole.argmin())
         if len(own) > 1 and (bits.argmin(1) != first).any():
             chosen = path(bits)
-            sizes = np.array([count_letters(text[a:b]) for a, b in own])
             good = {lang for lang in set(chosen.tolist()) if (sizes[chosen == lang] > 0).sum() >= MIN_SENTENCES and sizes[chosen == lang].sum() >= MIN_LETTERS}
         else:
             chosen, good = np.full(len(own), first), set()

@@ -76,23 +76,27 @@ def words(t: Column) -> Column:
     return F.regexp_extract_all(F.lower(simple_clean(t)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def tokens(t: Column) -> Column:
-    """Words, or characters of a Han text."""
-    return F.when(detect_language(t) == "zh", F.regexp_extract_all(simple_clean(t), F.lit(r"(?U)\S"), F.lit(0))).otherwise(words(t))
+def tokens(t: Column, zh: Column) -> Column:
+    """Words, or characters of a Han text (``zh``)."""
+    return F.when(zh, F.regexp_extract_all(simple_clean(t), F.lit(r"(?U)\S"), F.lit(0))).otherwise(words(t))
+
+
+def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, zh, pos, word) of every token; the language of a text is found once."""
+    held = df.select(key, (detect_language(F.col(text)) == "zh").alias("zh"), text)
+    return held.select(key, "zh", F.posexplode(tokens(F.col(text), F.col("zh"))).alias("pos", "word"))
 
 
 def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word, n, first): counts of each text's words and where each comes first. Texts of one key are expected to be one row."""
-    each = df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "word"))
-    return each.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return token_rows(df, key, text).groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
 def keywords(df: DataFrame, key: str, text: str, k: int = 10, shortest: int = 2) -> DataFrame:
     """(key, word, n, rank) of the k most frequent words that are no stop words; ties go to the first to occur."""
-    zh = df.select(key, (detect_language(F.col(text)) == "zh").alias("zh"), text)
-    each = zh.select(key, "zh", F.posexplode(tokens(F.col(text))).alias("pos", "word"))
     stop = F.when(F.col("zh"), F.col("word").isin(*STOP_WORDS_ZH)).otherwise(F.col("word").isin(*STOP_WORDS_EN))
-    counted = each.filter(~stop & (F.length("word") >= shortest)).groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    kept = token_rows(df, key, text).filter((F.length("word") >= shortest) & ~stop)
+    counted = kept.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "word", "n", "rank")
 

@@ -11,7 +11,7 @@ from leafline.config import BALANCED, CAPTION_PATTERNS, DOCUMENT_WEIGHTS, LENIEN
 from leafline.functions import captions, geometry, images, markdown, similarity, text
 from leafline.functions.geometry import Box
 from leafline.operators import associate, components, dedup, layout, prune, rates, render, search, stats
-from leafline.session import table
+from leafline.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -338,26 +338,31 @@ def _documents(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents")
 
 
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    """The texts alone, over all cores, for queries that are heavy on them."""
+    return spread(table(spark, root, "documents").select("doc_id", "text"))
+
+
 @query
 def lang_detect(spark: SparkSession, root: str) -> DataFrame:
-    return _documents(spark, root).select("doc_id", text.detect_language(F.coalesce("text", F.lit(""))).alias("language"))
+    return _texts(spark, root).select("doc_id", text.detect_language(F.coalesce("text", F.lit(""))).alias("language"))
 
 
 @query
 def sentence_counts(spark: SparkSession, root: str) -> DataFrame:
-    found = _documents(spark, root).select("doc_id", text.sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    found = _texts(spark, root).select("doc_id", text.sentences(F.coalesce("text", F.lit(""))).alias("s"))
     return found.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
 @query
 def word_counts(spark: SparkSession, root: str) -> DataFrame:
-    found = text.word_counts(_documents(spark, root).filter("text is not null"), "doc_id", "text")
+    found = text.word_counts(_texts(spark, root).filter("text is not null"), "doc_id", "text")
     return found.groupBy("word").agg(F.count("*").alias("documents"), F.sum("n").alias("n"))
 
 
 @query
 def keywords(spark: SparkSession, root: str) -> DataFrame:
-    return text.keywords(_documents(spark, root).filter("text is not null"), "doc_id", "text")
+    return text.keywords(_texts(spark, root).filter("text is not null"), "doc_id", "text")
 
 
 @query
@@ -368,12 +373,12 @@ def chunks_fixed(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def chunks_sentence(spark: SparkSession, root: str) -> DataFrame:
-    return _documents(spark, root).filter("text is not null").select("doc_id", F.posexplode(text.sentence_chunks(F.col("text"))).alias("pos", "chunk"))
+    return _texts(spark, root).filter("text is not null").select("doc_id", F.posexplode(text.sentence_chunks(F.col("text"))).alias("pos", "chunk"))
 
 
 @query
 def clean_nfkc(spark: SparkSession, root: str) -> DataFrame:
-    return _documents(spark, root).select("doc_id", similarity.clean_text("text").alias("text"))
+    return _texts(spark, root).select("doc_id", similarity.clean_text("text").alias("text"))
 
 
 @query

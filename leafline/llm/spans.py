@@ -24,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafline.session import scratch
+
 GRAM = 100
 MAX_BITS = 28
 CHUNK_BITS = 16
 CHARS_AT_ONCE = 1_500_000
+CROWD = 64
 BASE = 0x9E3779B97F4A7C15  # any odd number
 
 
@@ -211,7 +215,12 @@ def common(a: str, b: str) -> int:
 
 
 def shared_pairs(df: DataFrame, item: str, text: str, span: int = 200) -> DataFrame:
-    """(id_a, id_b), a < b, for all records that share ``span`` code points in a row."""
+    """(id_a, id_b), a < b, for all records that share ``span`` code points in a row.
+
+    Records of an anchor are compared in pairs up to CROWD of them. A crowded anchor, such as a formula that very many
+    records have but that is shorter than ``span``, makes no pairs: the windows around it are grouped exactly, and only records of
+    an equal window meet, so the work follows the result.
+    """
     texts, sketch = _prepare(df, item, text, span)
     kind = df.schema[item].dataType
     around = T.StructType([T.StructField("f", T.LongType()), T.StructField("id", kind), T.StructField("before", T.StringType()), T.StructField("after", T.StringType())])
@@ -236,11 +245,30 @@ def shared_pairs(df: DataFrame, item: str, text: str, span: int = 200) -> DataFr
             good = {(i, j) for i, j, p, q, r, s in zip(a, b, before_a, before_b, after_a, after_b) if (n := common(r, s)) >= GRAM and n + common(p, q) >= span}
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in good], batch.column(0).type), pa.array([j for _, j in good], batch.column(1).type)], ["id_a", "id_b"])
 
-    found = texts.mapInArrow(windows, around)
-    a, b = found.alias("a"), found.alias("b")
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows of ``span`` around an anchor, by 128-bit hash."""
+        for batch in batches:
+            keys, take = [], []
+            for row, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                whole = a[::-1] + b
+                keys += [xxhash.xxh3_128_digest(whole[k : k + span].encode("utf-32-le", "surrogatepass")) for k in range(len(whole) - span + 1)]
+                take += [row] * max(0, len(whole) - span + 1)
+            rows = pa.Table.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(take, pa.int64()))], ["w", "id"])
+            yield from rows.to_batches(max_chunksize=100_000)
+
+    path = scratch(df.sparkSession, "anchors")
+    texts.mapInArrow(windows, around).write.parquet(path)
+    found = df.sparkSession.read.parquet(path)
+    crowded = found.groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("f")
+    few = found.join(crowded, "f", "left_anti")
+    a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.id") < F.col("b.id")))
     narrow = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "a.before", F.col("b.before").alias("before_b"), "a.after", F.col("b.after").alias("after_b"))
-    return narrow.mapInArrow(verify, T.StructType([T.StructField("id_a", kind), T.StructField("id_b", kind)])).distinct()
+    schema = T.StructType([T.StructField("id_a", kind), T.StructField("id_b", kind)])
+    inside = found.join(crowded, "f", "left_semi").select("id", "before", "after").mapInArrow(inner, T.StructType([T.StructField("w", T.BinaryType()), T.StructField("id", kind)])).distinct()
+    c, d = inside.alias("c"), inside.alias("d")
+    many = c.join(d, (F.col("c.w") == F.col("d.w")) & (F.col("c.id") < F.col("d.id"))).select(F.col("c.id").alias("id_a"), F.col("d.id").alias("id_b"))
+    return narrow.mapInArrow(verify, schema).unionByName(many).distinct()
 
 
 def shared_starts(df: DataFrame, item: str, text: str, span: int = 200) -> DataFrame:

@@ -117,6 +117,19 @@ def test_shared_spans_by_brute_force(spark):
     assert spans.shared_pairs(df.limit(0), "id", "text").count() == 0
 
 
+def test_crowded_anchors(spark, monkeypatch):
+    """A formula shorter than the span in every record, and a longer one in some."""
+    monkeypatch.setattr(spans, "CROWD", 5)
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    short, long = word(170), word(230)
+    texts = [word(150) + (long if k % 4 == 0 else short) + word(150) for k in range(40)] + [short, long, short + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    windows = [{t[p : p + 200] for p in range(len(t) - 199)} for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if windows[a] & windows[b]}
+    assert len(want) > 10 and {tuple(r) for r in spans.shared_pairs(df, "id", "text").collect()} == want
+
+
 def test_sketch_only_overestimates(spark):
     texts = spark.createDataFrame([(k, t) for k, t in enumerate(corpus()) if t and len(t) >= 200], "id long, text string")
     sketch = spans.repeated_slots(texts, 200, 16)

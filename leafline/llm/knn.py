@@ -6,8 +6,8 @@ rounds of beam-search encoding and least squares over all codebooks together. Ev
 the model is fitted on the sample, and its size depends on the parameters alone.
 
 Search. Every vector is put in its nearest cell with its beam-searched code and the norm of what the code
-decodes to. It queries its PROBES nearest cells: look-up tables of inner products between the query and all words score the
-codes there, and the RERANK best of a block of a cell are compared exactly. Cells are cut into
+decodes to. It queries its nearest cells, PROBES of BASE_CELLS and with more cells as many more as their square root
+grows: look-up tables of inner products between the query and all words score the codes there, and the RERANK best of a block of a cell are compared exactly. Cells are cut into
 blocks of at most about BLOCK vectors and their queries into chunks of about CHUNK, so the unit of work is bounded
 however the vectors crowd; the centroids follow the sample, so crowded regions get more of them.
 
@@ -34,7 +34,7 @@ from leafline.session import scratch
 
 SAMPLE = 20_000
 BOOKS, WORDS, BEAM = 8, 64, 4
-PROBES, RERANK = 12, 24
+PROBES, BASE_CELLS, RERANK = 12, 32, 48
 BLOCK, CHUNK = 4096, 8192
 MAX_CELLS = 4096
 
@@ -102,6 +102,11 @@ def fit(x: np.ndarray, n: int) -> Model:
     return model
 
 
+def probed(cells: int) -> int:
+    """How many cells a vector queries: a fixed number would reach an ever smaller share of them."""
+    return max(PROBES, int(np.ceil(PROBES * (cells / BASE_CELLS) ** 0.5)))
+
+
 def unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -138,8 +143,8 @@ def search_block(model: Model, cell: int, data: pd.DataFrame, query: pd.DataFram
     return out[np.isfinite(out["sim"])]
 
 
-def most_similar(df: DataFrame, item: str, vector: str, k: int = 5, dimension: int = 64, probes: int = PROBES) -> DataFrame:
-    """(item, neighbour, cosine, rank) of the k most similar of every usable vector."""
+def most_similar(df: DataFrame, item: str, vector: str, k: int = 5, dimension: int = 64, probes: int | None = None) -> DataFrame:
+    """(item, neighbour, cosine, rank) of the k most similar of every usable vector; ``probes`` cells are queried, by default ``probed`` of them."""
     spark = df.sparkSession
     found = df.filter(F.col(item).isNotNull() & usable(vector, dimension)).select(F.col(item).alias("id"), F.transform(vector, lambda v: v.cast("float")).alias("v"))
     keyed = found.select("id", "v", F.xxhash64("v").alias("h1"), F.hash(F.reverse("v")).alias("h2"), F.xxhash64(F.reverse("v")).alias("h3"))
@@ -157,6 +162,7 @@ def most_similar(df: DataFrame, item: str, vector: str, k: int = 5, dimension: i
         return spark.createDataFrame([], f"`{item}` {kind}, neighbour {kind}, cosine double, rank int")
     model = fit(unit([r["v"] for r in sample]), n)
     shipped = spark.sparkContext.broadcast(model)
+    probes = probes or probed(len(model.cells))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value

@@ -57,13 +57,16 @@ def task_facts(tasks: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def merge_scores(rows: DataFrame, group: str, item: str, score: str, at: str) -> DataFrame:
-    """(group, n, items): the last score of each item of a group, best first; a pair's later score replaces the earlier.
+    """(group, item, score): the last score of every item of a group; a pair's later score replaces the earlier."""
+    return rows.groupBy(group, item).agg(F.max_by(score, F.struct(at, score)).alias("score"))
 
-    ``items`` has the best 100 of a group at most, for a group may hold any number of them.
+
+def score_lists(merged: DataFrame, group: str, item: str, size: int = 100) -> DataFrame:
+    """(group, n, page, items): all items of a group, best first, in as many lists of at most ``size`` as they fill.
+
+    A group may hold any number of items, so one list of all would be a row without bound.
     """
-    last = rows.groupBy(group, item).agg(F.max_by(score, F.struct(at, score)).alias("s"))
-    order = Window.partitionBy(group).orderBy(F.desc("s"), item)
-    counted = last.withColumn("k", F.row_number().over(order)).filter("k <= 100")
-    sizes = last.groupBy(group).agg(F.count("*").alias("n"))
-    lists = counted.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("k", F.col(item).alias("item"), F.col("s").alias("score")))).alias("items"))
-    return sizes.join(lists, group)
+    order = Window.partitionBy(group).orderBy(F.desc("score"), item)
+    placed = merged.withColumn("k", F.row_number().over(order)).withColumn("page", ((F.col("k") - 1) / size).cast("int"))
+    lists = placed.groupBy(group, "page").agg(F.array_sort(F.collect_list(F.struct("k", F.col(item).alias("item"), "score"))).alias("items"))
+    return lists.join(merged.groupBy(group).agg(F.count("*").alias("n")), group).select(group, "n", "page", "items")

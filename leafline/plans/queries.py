@@ -256,8 +256,9 @@ def assoc_summary(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def assoc_merged_scores(spark: SparkSession, root: str) -> DataFrame:
+    """All blocks of each image by their last score, in lists of at most 100: an image with more has several rows, each with the n of all."""
     held = table(spark, root, "associations").filter("image_id is not null")
-    found = stats.merge_scores(held, "image_id", "block_uid", "final_score", "ingested_at")
+    found = stats.score_lists(stats.merge_scores(held, "image_id", "block_uid", "final_score", "ingested_at"), "image_id", "block_uid")
     return found.select("image_id", "n", F.array_join(F.transform("items", lambda i: i["item"].cast("string")), ",").alias("items"))
 
 

@@ -48,12 +48,13 @@ def related(blocks: DataFrame, associations: DataFrame, most: int = 5) -> DataFr
     return blocks.select("block_uid").distinct().join(lists, "block_uid", "left").select("block_uid", F.coalesce(F.transform("images", lambda i: i["image_id"]), F.array().cast("array<string>")).alias("images"))
 
 
-def comments(associations: DataFrame, most: int = 100) -> DataFrame:
-    """(doc_id, n, comments): association comments of each document, best first, at most ``most``."""
+def comments(associations: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, n, comments): association comments of each document, best first; all, or at most ``most``."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id").orderBy(F.desc("final_score"), "text_block_id", "image_id", "association_type")
-    kept = associations.filter("image_id is not null").select("doc_id", "text_block_id", "image_id", "final_score", "association_type").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+    kept = associations.filter("image_id is not null").select("doc_id", "text_block_id", "image_id", "final_score", "association_type").distinct().withColumn("k", F.row_number().over(order))
+    kept = kept if most is None else kept.filter(F.col("k") <= most)
     lists = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "text_block_id", "image_id", "final_score", "association_type"))).alias("a"))
     return lists.select("doc_id", F.size("a").alias("n"), association_comments(F.col("a")).alias("comments"))
 

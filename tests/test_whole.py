@@ -28,3 +28,13 @@ def test_merged_scores_keep_all_items(spark, data, duck):
         found[r["image_id"]].append(r["items"].split(","))
     # the best 100 are the list that is full
     assert {g: sum(sorted(lists, key=len, reverse=True), []) for g, lists in found.items()} == {g: items for g, (_, items) in want.items()}
+
+
+@pytest.mark.parametrize("name", ["assoc_comments", "assoc_roundtrip"])
+def test_comments_keep_all_associations(name, spark, data, duck):
+    held = duck.execute(ORACLES[name].replace(" QUALIFY k <= 100", ""))
+    names = [d[0] for d in held.description]
+    want = sorted(held.fetchall())
+    rows = sorted(tuple(r[n] for n in names) for r in QUERIES[name](spark, data).collect())
+    assert rows == want
+    assert max(r[names.index("n" if name == "assoc_comments" else "pos")] for r in rows) > 100

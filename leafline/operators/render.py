@@ -38,12 +38,13 @@ def documents(meta: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.concat(head, title, F.coalesce("body", F.lit("")), F.lit("\n")).alias("markdown"))
 
 
-def related(blocks: DataFrame, associations: DataFrame, most: int = 5) -> DataFrame:
-    """(block_uid, images): every block with its associated images, best first, at most ``most``; empty without any."""
+def related(blocks: DataFrame, associations: DataFrame, most: int | None = None) -> DataFrame:
+    """(block_uid, images): every block with its associated images, best first, all or at most ``most``; empty without any."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("block_uid").orderBy(F.desc("final_score"), "image_id")
-    best = associations.groupBy("block_uid", "image_id").agg(F.max("final_score").alias("final_score")).filter("image_id is not null").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+    best = associations.groupBy("block_uid", "image_id").agg(F.max("final_score").alias("final_score")).filter("image_id is not null").withColumn("k", F.row_number().over(order))
+    best = best if most is None else best.filter(F.col("k") <= most)
     lists = best.groupBy("block_uid").agg(F.array_sort(F.collect_list(F.struct("k", "image_id", "final_score"))).alias("images"))
     return blocks.select("block_uid").distinct().join(lists, "block_uid", "left").select("block_uid", F.coalesce(F.transform("images", lambda i: i["image_id"]), F.array().cast("array<string>")).alias("images"))
 

@@ -38,3 +38,9 @@ def test_comments_keep_all_associations(name, spark, data, duck):
     rows = sorted(tuple(r[n] for n in names) for r in QUERIES[name](spark, data).collect())
     assert rows == want
     assert max(r[names.index("n" if name == "assoc_comments" else "pos")] for r in rows) > 100
+
+
+def test_related_images_keep_all(spark, data, duck):
+    want = dict(duck.execute("SELECT block_uid, images FROM (" + ORACLES["related_images"].replace(" QUALIFY k <= 5", "") + ")").fetchall())
+    assert {r["block_uid"]: r["images"] for r in QUERIES["related_images"](spark, data).collect()} == want
+    assert max(images.count(",") for images in want.values()) >= 5

@@ -510,13 +510,14 @@ def kb_remove(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def rag_context(spark: SparkSession, root: str) -> DataFrame:
-    """One prompt for each author of their 20 newest documents, the newest first."""
+    """Prompts of 20 documents each over all documents of an author, the newest first; the first is named as the author, the k-th (author, unit separator, k)."""
     from pyspark.sql import Window
 
     meta = table(spark, root, "doc_meta").filter("author is not null").select("author", "doc_id", "created_at").distinct()
     newest = Window.partitionBy("author").orderBy(F.desc("created_at"), F.desc("doc_id"))
-    few = meta.withColumn("k", F.row_number().over(newest)).filter("k <= 20")
-    asked = few.groupBy(F.col("author").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("k", "doc_id"))).alias("d")).select("request_id", F.transform("d", lambda d: d["doc_id"]).alias("document_ids"))
+    name = F.when(F.col("part") == 1, F.col("author")).otherwise(F.concat_ws("\x1f", "author", F.col("part").cast("string")))
+    parts = meta.withColumn("k", F.row_number().over(newest)).withColumn("part", F.ceil(F.col("k") / 20)).withColumn("request_id", name)
+    asked = parts.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("k", "doc_id"))).alias("d")).select("request_id", F.transform("d", lambda d: d["doc_id"]).alias("document_ids"))
     made = search.context(asked, table(spark, root, "tasks"), table(spark, root, "doc_meta"))
     return made.select("request_id", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("digest"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import duckdb
@@ -44,3 +46,15 @@ def test_related_images_keep_all(spark, data, duck):
     want = dict(duck.execute("SELECT block_uid, images FROM (" + ORACLES["related_images"].replace(" QUALIFY k <= 5", "") + ")").fetchall())
     assert {r["block_uid"]: r["images"] for r in QUERIES["related_images"](spark, data).collect()} == want
     assert max(images.count(",") for images in want.values()) >= 5
+
+
+def test_rag_context_asks_for_every_document(spark, tmp_path):
+    start = datetime(2025, 1, 1)
+    meta = [(a, f"{a}{k:02d}", start + timedelta(days=k), f"{a}{k:02d}.pdf") for a, n in (("a", 45), ("b", 20)) for k in range(n)]
+    spark.createDataFrame(meta, "author string, doc_id string, created_at timestamp_ntz, filename string").write.parquet(f"{tmp_path}/doc_meta.parquet")
+    tasks = [(f"t{d}", d, "completed", "text", start) for _, d, _, _ in meta]
+    spark.createDataFrame(tasks, "task_id string, document_id string, status string, markdown_content string, completed_at timestamp_ntz").write.parquet(f"{tmp_path}/tasks.parquet")
+    part = lambda d: f"## 文檔: {d}.pdf\n\ntext"
+    want = {"b": [f"b{k:02d}" for k in range(19, -1, -1)]} | {n: [f"a{k:02d}" for k in ks] for n, ks in (("a", range(44, 24, -1)), ("a\x1f2", range(24, 4, -1)), ("a\x1f3", range(4, -1, -1)))}
+    found = QUERIES["rag_context"](spark, str(tmp_path))
+    assert {r["request_id"]: r["digest"] for r in found.collect()} == {n: hashlib.md5("\n\n".join(map(part, ds)).encode()).hexdigest() for n, ds in want.items()}

@@ -193,6 +193,22 @@ def test_vocabulary():
     assert v.spelling("layuot") is None and v.spelling("layot", 1) == "layout" and v.spelling("drawers", 1) == "drawer"
 
 
+def test_the_vocabulary_decides_what_a_letter_of_several_shapes_is(spark):
+    texts = ["Ӏayout", "layout", "Iayout", "Straβe", "Straße", "βeta", "la​уоut"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = lambda words: {tuple(r) for r in lookalike.alike_pairs(df, "id", "text", words).collect()}
+    assert pairs(["layout", "Straße"]) == {(0, 1), (0, 6), (1, 6), (3, 4)}
+    assert pairs([]) == {(0, 2), (1, 6)}
+    genuine = spark.createDataFrame([(0, "сору"), (1, "copy")], "id long, text string")
+    assert [r["text"] for r in lookalike.canonical_texts(genuine, "text", ["id"], ["сору"]).collect()] == ["сору"] * 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcеаоﬁ\u200b e\u0301é\u3000 ⼈Ａ,.-()1ʼ\u0302\n²ー\uff76\uff9eӀβ", max_size=15))
+def test_without_a_vocabulary_the_table_decides(t):
+    assert lookalike.Vocabulary([]).canonical(t) == lookalike.table_form(t)
+
+
 def test_alike_pairs_by_brute_force(spark):
     texts = ["copy", "сору", "ｃｏｐｙ", "copy", "Copy", "", " ", " ", None, "file", "ﬁle"]
     df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)] + [(0, "copy", "z"), (None, "сору", "z")], "id long, text string, key string")

@@ -74,11 +74,16 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The page blocks of scanned documents (their text has no font size), and all other texts."""
+    """The page blocks of scanned documents (none of whose texts has a font size), and all other texts.
+
+    Texts with a font size stay where they are; only blocks without one are asked about their documents.
+    """
     blocks = table(spark, root, "text_blocks")
-    scanned = F.coalesce("font_size", F.lit(0.0)) == 0
-    pages = blocks.filter(scanned).select(F.col("doc_id").alias("doc"), F.col("page_number").alias("page"), F.col("block_uid").alias("uid"), F.col("content").alias("text"))
-    clean = spread(blocks.filter(~scanned).select(F.col("content").alias("text")))
+    sized = F.coalesce("font_size", F.lit(0.0)) != 0
+    read = blocks.select("doc_id", sized.alias("sized")).groupBy("doc_id").agg(F.max("sized").alias("sized")).filter("sized").select("doc_id")
+    unsized = blocks.filter(~sized)
+    pages = unsized.join(read, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), F.col("page_number").alias("page"), F.col("block_uid").alias("uid"), F.col("content").alias("text"))
+    clean = spread(blocks.filter(sized).select(F.col("content").alias("text"))).unionByName(unsized.join(read, "doc_id", "left_semi").select(F.col("content").alias("text")))
     terms = table(spark, root, "glossary").select(F.col("term").alias("text"))
     return pages, clean.unionByName(terms).unionByName(table(spark, root, "lang_samples").select("text"))
 

@@ -241,6 +241,32 @@ def test_scans(spark):
     assert scans.noise(pages.limit(0), texts).count() == 0
 
 
+def test_running_lines_of_any_length_number_and_ending():
+    long = "A running title " + "that goes on and on " * 10
+    pages = [scans.Page(k, k + 1, f"Handbook\nAnnual Report\nSeries One\nBody text of {w} is here\nand more {w}\nExample Press Inc.\n{long}\n{k + 1}") for k, w in enumerate(["alpha", "bravo", "charlie", "delta"])]
+    scans.analyse(pages)
+    for p in pages:
+        assert sorted(p.drop) == [0, 1, 2, 5, 6, 7] and p.drop[7] == "page_number" and {p.drop[i] for i in (0, 1, 2, 5, 6)} == {"running_line"}
+
+
+def test_words_have_no_longest_length():
+    assert scans.words("configuration/installation/maintenance/repairs " + "x" * 60) == ["configuration", "installation", "maintenance", "repairs", "x" * 60]
+    assert scans.numbers("12345678") == (12345678,)
+
+
+def test_two_confusions_and_pages_that_stand_alone(spark, monkeypatch):
+    monkeypatch.setattr(scans, "CROWDED", 3)
+    long = "hyper" * 12
+    clean = spark.createDataFrame([(f"commercial scanner office {long}",)] * 200, "text string")
+    rows = [("d", 1, 0, f"the cornrnercial office, {long.replace('hyp', 'hvp', 1)}"), ("d", None, 1, "a sca1n1er 5"), (None, 2, 2, "a scan-\nner"), (None, None, 3, "2")]
+    rows += [("e", 7, 10 + k, f"Same Title\nscamer office{k}\n7") for k in range(9)]
+    pages = spark.createDataFrame(rows, "doc string, page int, uid long, text string")
+    found = {(r["uid"], r["kind"], r["fixed"]) for r in scans.noise(pages, clean).collect()}
+    assert {(0, "misread", "commercial"), (2, "split_word", "scanner")} <= found
+    assert not {f for f in found if f[0] == 3}
+    assert {(10 + k, "misread", "scanner") for k in range(9)} <= found and {(10 + k, "page_number", "7") for k in range(9)} <= found
+
+
 @pytest.mark.parametrize("line, want", [("Page 3", (3,)), ("– 12 –", (12,)), ("[l]", (1, 50)), ("iv", (4,)), ("3/17", (3,)), ("第 5 頁", (5,)), ("70 %", (70,)), ("345 g/m²", ()), ("word", ())])
 def test_page_numbers(line, want):
     assert scans.numbers(line) == want

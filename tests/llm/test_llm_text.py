@@ -259,7 +259,7 @@ def test_two_confusions_and_pages_that_stand_alone(spark, monkeypatch):
     long = "hyper" * 12
     clean = spark.createDataFrame([(f"commercial scanner office {long}",)] * 200, "text string")
     rows = [("d", 1, 0, f"the cornrnercial office, {long.replace('hyp', 'hvp', 1)}"), ("d", None, 1, "a sca1n1er 5"), (None, 2, 2, "a scan-\nner"), (None, None, 3, "2")]
-    rows += [("e", 7, 10 + k, f"Same Title\nscamer office{k}\n7") for k in range(9)]
+    rows += [("e", 7, 10 + k, f"Same Title\nscamer {chr(103 + k) * 6}\n7") for k in range(9)]
     pages = spark.createDataFrame(rows, "doc string, page int, uid long, text string")
     found = {(r["uid"], r["kind"], r["fixed"]) for r in scans.noise(pages, clean).collect()}
     assert {(0, "misread", "commercial"), (2, "split_word", "scanner")} <= found

@@ -145,6 +145,30 @@ def test_held_out_languages(samples):
     assert sum(models.langs[f[0][2]] == lang for f, (lang, _) in zip(found, held)) >= 0.99 * len(held)
 
 
+def test_confidence_is_as_high_as_accuracy(samples):
+    """On stretches of some 20 letters of held-out samples; all of 40 letters are right."""
+    models = langid.Models(s for k, s in enumerate(samples) if k % 4)
+    label = langid.Labeller(models).label
+    for least, off in ((20, 0.01), (40, 0.005)):
+        parts = []
+        for lang, text in (s for k, s in enumerate(samples) if k % 4 == 0):
+            at = 0
+            for m in re.finditer(r"\w\b" if text.isascii() or " " in text else r"\w", text):
+                if sum(c.isalpha() for c in text[at : m.end()]) >= least:
+                    parts.append((lang, text[at : m.end()]))
+                    at = m.end()
+        found = [f[0] for f in label([t for _, t in parts])]
+        right = [models.langs[f[2]] == lang for f, (lang, _) in zip(found, parts)]
+        assert abs(np.mean([f[3] for f in found]) - np.mean(right)) < off and np.mean(right) > 0.99
+
+
+def test_long_words_and_codes(samples):
+    models = langid.Models(samples)
+    label = langid.Labeller(models).label
+    long, codes, mixed = label(["Seitenhälfte" * 8, "trennlinie_12/papier_7/seitenzahl_99", "The page is blank here. " + "trennlinie_12/papier_7/" * 5])
+    assert [models.langs[f[0][2]] for f in (long, codes, mixed)] == ["de", "de", "en"]
+
+
 def test_mixed_texts_and_edges(samples):
     models = langid.Models(samples)
     label = langid.Labeller(models).label

@@ -136,6 +136,11 @@ def p9_share(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_shares(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p9_sets(spark: SparkSession, root: str) -> DataFrame:
+    """The sets of documents that share a span, without pairs."""
+    return spans.shared_sets(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

@@ -117,9 +117,16 @@ def test_shared_spans_by_brute_force(spark):
     assert spans.shared_pairs(df.limit(0), "id", "text").count() == 0
 
 
-def test_crowded_anchors(spark, monkeypatch):
+def test_shared_spans_with_a_sketch_that_is_not_broadcast(spark, monkeypatch):
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = {tuple(r) for r in spans.shared_pairs(df, "id", "text").collect()}, {tuple(r) for r in spans.shared_starts(df, "id", "text").collect()}
+    monkeypatch.setattr(spans, "MAX_BITS", 1)
+    assert sets == ({tuple(r) for r in spans.shared_pairs(df, "id", "text").collect()}, {tuple(r) for r in spans.shared_starts(df, "id", "text").collect()}) and sets[0]
+
+
+def test_crowded_anchors(spark):
     """A formula shorter than the span in every record, and a longer one in some."""
-    monkeypatch.setattr(spans, "CROWD", 5)
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
     short, long = word(170), word(230)
@@ -130,6 +137,21 @@ def test_crowded_anchors(spark, monkeypatch):
     assert len(want) > 10 and {tuple(r) for r in spans.shared_pairs(df, "id", "text").collect()} == want
 
 
+def test_boilerplate_makes_few_rows(spark):
+    """A formula of 500 code points in very many records: rows on the way follow the records, and hardly a pair is made twice."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    formula, n = word(500), 5000
+    df = spark.createDataFrame([(k, word(60) + formula + word(60)) for k in range(n)], "id long, text string")
+    shared = spans.Shared(df, "id", "text", 200)
+    sets = shared.sets()
+    sizes = [r["count"] for r in sets.groupBy(*spans.Shared.SIGN).count().collect()]
+    assert max(sizes) == n and sum(sizes) < 8 * n  # records that also agree in the letters beside the formula are sets, too
+    assert sum(m * (m - 1) for m in sizes) < 1.3 * n * (n - 1)
+    assert shared.regions.count() < 20 * n and shared.windows.count() < 200 * n
+    assert spans.shared_spans(df, "id", "text").filter("end - start = 500 and start = 60").count() == n
+
+
 def test_sketch_only_overestimates(spark):
     texts = spark.createDataFrame([(k, t) for k, t in enumerate(corpus()) if t and len(t) >= 200], "id long, text string")
     sketch = spans.repeated_slots(texts, 200, 16)
@@ -138,7 +160,7 @@ def test_sketch_only_overestimates(spark):
     for r in texts.collect():
         points = np.frombuffer(r["text"].encode("utf-32-le"), np.uint32)
         hashes = hasher.windows(hasher.prefix(points), spans.GRAM)
-        for h in hashes[spans.select(hashes, np.array([len(points)]), 200, spans.GRAM)]:
+        for h in hashes[spans.select(hashes, np.array([len(points)]), 200, spans.GRAM)[0]]:
             seen.setdefault(int(h), set()).add(r["id"])
     repeated = np.array([h for h, ids in seen.items() if len(ids) > 1], np.uint64)
     assert len(repeated) and spans._repeated(repeated, sketch).all()
@@ -149,8 +171,8 @@ def test_selection_always_hits_a_run():
     points = rnd.integers(97, 100, 3000).astype(np.uint32)
     hasher = spans.Hasher()
     hashes = hasher.windows(hasher.prefix(points), spans.GRAM)
-    at = spans.select(hashes, np.array([1200, 1800]), 200, spans.GRAM)
+    at, first, count = spans.select(hashes, np.array([1200, 1800]), 200, spans.GRAM)
+    assert count.sum() == 1001 + 1601 and ((first <= at) & (at <= first + 100)).all()
     for begin, end in ((0, 1200), (1200, 3000)):
         for p in range(begin, end - 199):
             assert ((at >= p) & (at <= p + 100)).any()
-    assert spans.common("abc", "abd") == 2 and spans.common("", "x") == 0 and spans.common("ab", "ab") == 2

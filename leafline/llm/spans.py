@@ -15,8 +15,9 @@ Second pass. Only regions of fingerprints that the sketch estimates to be repeat
 
 1. Equal regions (128-bit hashes) are one class, with the smallest and largest id and a signature of the set of its ids, by
    partial aggregation. A class of several ids shares all its windows.
-2. Where an anchor has several classes, one region of each is cut into its windows, and windows that
-   several classes have join them.
+2. Where an anchor has several classes, those that share a window agree, around the anchor, in at least one of PARTS
+   stretches of nearly its length (for what a window has on the left of its anchor it lacks on the right). One region
+   of each class that agrees so with another is cut into its windows, and windows that several classes have join them.
 3. Classes and windows with the same set of ids are one set, which gives its pairs once.
 
 So a text of any length that very many records have costs one row a record and anchor, and pairs once. ``shared_spans``
@@ -44,6 +45,7 @@ GRAM = 100
 MAX_BITS = 28
 CHUNK_BITS = 16
 LEAST = 2
+PARTS = 4
 CHARS_AT_ONCE = 1_500_000
 BASE = 0x9E3779B97F4A7C15  # any odd number
 
@@ -131,21 +133,21 @@ def _batches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[Batch]:
             yield flush(ids, texts)
 
 
-Anchors = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Anchors = tuple[np.ndarray, ...]
 
 
 def _anchors(batch: Batch, span: int) -> Anchors:
-    """Hashes and record numbers of a batch's selected grams, the first windows and numbers of windows."""
+    """Hashes and record numbers of a batch's selected grams, their first windows and numbers of windows, and their positions."""
     _, _, ends, _, points, hasher = batch
     prefix = hasher.prefix(points)
     hashes = hasher.windows(prefix, GRAM)
     at, first, count = select(hashes, np.diff(ends, prepend=0), span, GRAM)
-    return hashes[at], np.searchsorted(ends, at, "right"), first, count
+    return hashes[at], np.searchsorted(ends, at, "right"), first, count, at
 
 
 def _once(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Each hash of a batch's selected grams once a record, and the record numbers."""
-    hashes, record, _, _ = _anchors(batch, span)
+    hashes, record, *_ = _anchors(batch, span)
     order = np.lexsort((hashes, record))
     hashes, record = hashes[order], record[order]
     new = np.ones(len(hashes), bool)
@@ -260,15 +262,16 @@ class Shared:
         chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
         anchors = 2 * chars / (span - GRAM + 2) + 1
         bits = max(CHUNK_BITS, math.ceil(math.log2(8 * anchors)))
-        schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("r", T.BinaryType()), T.StructField("id", self.kind), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("text", T.StringType())])
+        schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("r", T.BinaryType()), T.StructField("id", self.kind), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("near", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
         kind = self.kind
+        around = _around(span)
 
         def regions(batch: Batch, anchors: Anchors, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
             ids, _, ends, joined, _, _ = batch
-            hashes, record, first, count = (a[keep] for a in anchors)
+            hashes, record, first, count, at = (a[keep] for a in anchors)
             cut = [joined[a:b] for a, b in zip(first.tolist(), (first + count + span - 1).tolist())]
             begins = ends - np.diff(ends, prepend=0)
-            columns = [pa.array(hashes.view(np.int64)), pa.array([_digest(c) for c in cut], pa.binary()), _ids(ids, record, kind), pa.array((first - begins[record]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(cut, pa.string())]
+            columns = [pa.array(hashes.view(np.int64)), pa.array([_digest(c) for c in cut], pa.binary()), _ids(ids, record, kind), pa.array((first - begins[record]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array([_near(c, p, around) for c, p in zip(cut, (at - first).tolist())], pa.list_(pa.int64())), pa.array(cut, pa.string())]
             yield from pa.Table.from_arrays(columns, schema.names).to_batches()
 
         if LEAST * anchors <= 1 << MAX_BITS:
@@ -305,6 +308,12 @@ class Shared:
         self.classes = spark.read.parquet(f"{path}/classes")
 
         several = self.classes.filter("k > 1")
+        near = self.regions.select("f", "r", F.col("id").alias("lo"), "near").join(several.select("f", "r", "lo", "hi"), ["f", "r", "lo"])
+        near.select("f", "r", "lo", "hi", F.explode("near").alias("near")).distinct().write.parquet(f"{path}/near")
+        near = spark.read.parquet(f"{path}/near")
+        agreed = near.groupBy("near").agg(F.count("*").alias("c"), F.min("lo").alias("x"), F.max("hi").alias("y")).filter("c > 1 and x <> y").select("near")
+        near.join(agreed, "near").select("f", "r").distinct().write.parquet(f"{path}/agreed")
+        several = several.join(spark.read.parquet(f"{path}/agreed"), ["f", "r"])
         one = self.regions.select("f", "r", F.col("id").alias("lo"), "text").join(several, ["f", "r", "lo"]).dropDuplicates(["f", "r"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,6 +352,19 @@ class Shared:
         return whole.unionByName(self.regions.join(single, ["f", "r"]).select("id", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))).distinct()
 
 
+def _around(span: int) -> list[tuple[int, int]]:
+    """How far to the left and right of its gram a window reaches at least, in PARTS cases of which one always holds."""
+    extra = span - GRAM
+    part = max(1, -(-extra // PARTS))
+    return sorted({(min(i * part, extra), max(0, extra - (i + 1) * part)) for i in range(PARTS)})
+
+
+def _near(region: str, at: int, around: list[tuple[int, int]]) -> list[int]:
+    """Hashes of the stretches around the gram at ``at`` that lie in the region."""
+    cut = [region[at - a : at + GRAM + b] for a, b in around if a <= at and at + GRAM + b <= len(region)]
+    return [xxhash.xxh3_64_intdigest(c.encode("utf-32-le", "surrogatepass")) - (1 << 63) for c in cut]
+
+
 def _digest(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-32-le", "surrogatepass"))
 

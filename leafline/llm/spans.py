@@ -246,8 +246,8 @@ class Shared:
     """Classes of equal regions and windows that several of them have, in tables in the shared folder.
 
     ``regions`` (f, r, id, start, n, text): the regions of repeated anchors; ``classes`` (f, r, lo, hi, k and the signature): the
-    distinct ones with at least two ids or another class of their anchor; ``windows`` (w, f, r, at and the same): the windows of
-    classes of anchors with several.
+    distinct ones with at least two ids or another class of their anchor; ``several`` those that agree with another, as ``c``; ``joint``
+    (w, c, at): the windows that several classes and ids have.
     """
 
     SIGN = ("s0", "s1", "s2", "s3")
@@ -313,8 +313,9 @@ class Shared:
         near = spark.read.parquet(f"{path}/near")
         agreed = near.groupBy("near").agg(F.count("*").alias("c"), F.min("lo").alias("x"), F.max("hi").alias("y")).filter("c > 1 and x <> y").select("near")
         near.join(agreed, "near").select("f", "r").distinct().write.parquet(f"{path}/agreed")
-        several = several.join(spark.read.parquet(f"{path}/agreed"), ["f", "r"])
-        one = self.regions.select("f", "r", F.col("id").alias("lo"), "text").join(several, ["f", "r", "lo"]).dropDuplicates(["f", "r"])
+        several.join(spark.read.parquet(f"{path}/agreed"), ["f", "r"]).withColumn("c", F.monotonically_increasing_id()).write.parquet(f"{path}/several")
+        self.several = spark.read.parquet(f"{path}/several")
+        one = self.regions.select("f", "r", F.col("id").alias("lo"), "text").join(self.several.select("f", "r", "lo", "hi", "c"), ["f", "r", "lo"]).dropDuplicates(["c"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -327,28 +328,27 @@ class Shared:
                 rows = pa.Table.from_batches([batch]).drop(["text"]).take(pa.array(take, pa.int64()))
                 yield from rows.append_column("w", pa.array(keys, pa.binary())).append_column("at", pa.array(at, pa.int32())).to_batches(max_chunksize=100_000)
 
-        names = ["f", "r", "lo", "hi", *self.SIGN]
-        fields = [several.schema[c] for c in names]
-        one.select(*names, "text").mapInArrow(cut, T.StructType([*fields, T.StructField("w", T.BinaryType()), T.StructField("at", T.IntegerType())])).write.parquet(f"{path}/windows")
-        self.windows = spark.read.parquet(f"{path}/windows")
-
-    def joint(self) -> DataFrame:
-        """(w and a signature) of windows that several classes and ids have."""
-        sums = [F.sum(c).alias(c) for c in self.SIGN]
-        return self.windows.groupBy("w").agg(F.count("*").alias("c"), F.min("lo").alias("x"), F.max("hi").alias("y"), *sums).filter("c > 1 and x <> y").select("w", *self.SIGN)
+        names = ["c", "lo", "hi"]
+        windows = T.StructType([*(one.schema[k] for k in names), T.StructField("w", T.BinaryType()), T.StructField("at", T.IntegerType())])
+        one.select(*names, "text").mapInArrow(cut, windows).write.parquet(f"{path}/windows")
+        windows = spark.read.parquet(f"{path}/windows")
+        joint = windows.groupBy("w").agg(F.count("*").alias("k"), F.min("lo").alias("x"), F.max("hi").alias("y")).filter("k > 1 and x <> y").select("w")
+        windows.select("w", "c", "at").join(joint, "w").write.parquet(f"{path}/joint")
+        self.joint = spark.read.parquet(f"{path}/joint")
 
     def sets(self) -> DataFrame:
         """(s0.., id): the distinct sets of ids that share something, and their members."""
         members = self.regions.select("f", "r", "id")
         whole = self.classes.filter("lo <> hi").groupBy(*self.SIGN).agg(F.min(F.struct("f", "r")).alias("c")).select(*self.SIGN, "c.f", "c.r")
-        joint = self.joint().groupBy(*self.SIGN).agg(F.min("w").alias("w")).join(whole.select(*self.SIGN), list(self.SIGN), "left_anti")
-        of_windows = joint.join(self.windows.select("w", "f", "r"), "w").select(*self.SIGN, "f", "r")
+        each = self.joint.join(self.several.select("c", *self.SIGN), "c").groupBy("w").agg(*(F.sum(s).alias(s) for s in self.SIGN))
+        joint = each.groupBy(*self.SIGN).agg(F.min("w").alias("w")).join(whole.select(*self.SIGN), list(self.SIGN), "left_anti")
+        of_windows = joint.join(self.joint.select("w", "c"), "w").join(self.several.select("c", "f", "r"), "c").select(*self.SIGN, "f", "r")
         return whole.unionByName(of_windows).join(members, ["f", "r"]).select(*self.SIGN, "id").distinct()
 
     def starts(self) -> DataFrame:
         """(id, start, n): n windows from ``start`` on stand in another record too."""
         whole = self.regions.join(self.classes.filter("lo <> hi").select("f", "r"), ["f", "r"]).select("id", "start", "n")
-        single = self.windows.filter("lo = hi").join(self.joint().select("w"), "w").select("f", "r", "at")
+        single = self.joint.join(self.several.filter("lo = hi").select("c", "f", "r"), "c").select("f", "r", "at")
         return whole.unionByName(self.regions.join(single, ["f", "r"]).select("id", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))).distinct()
 
 

@@ -148,7 +148,7 @@ def test_boilerplate_makes_few_rows(spark):
     sizes = [r["count"] for r in sets.groupBy(*spans.Shared.SIGN).count().collect()]
     assert max(sizes) == n and sum(sizes) < 8 * n  # records that also agree in the letters beside the formula are sets, too
     assert sum(m * (m - 1) for m in sizes) < 1.3 * n * (n - 1)
-    assert shared.regions.count() < 20 * n and shared.windows.count() < 500 * n
+    assert shared.regions.count() < 20 * n and shared.joint.count() < 500 * n
     assert spans.shared_spans(df, "id", "text").filter("start <= 60 and end >= 560").count() == n
 
 

@@ -44,8 +44,27 @@ def test_row_groups_are_skipped(spark, tmp_path):
 
     scores = np.sort(np.random.default_rng(0).random(10_000))[::-1]
     pq.write_table(pa.table({"g": ["a"] * 10_000, "i": np.arange(10_000), "s": scores}), tmp_path / "f.parquet", row_group_size=1000)
-    rows, read, groups = topn.read_best(f"file://{tmp_path}/f.parquet", 5)
-    assert rows["i"].tolist() == [0, 1, 2, 3, 4] and (read, groups) == (1, 10)
+    found = list(topn.read_best(str(tmp_path / "f.parquet"), 5))
+    assert [(rows["i"].tolist(), read) for rows, read in found] == [([0, 1, 2, 3, 4], 1)]
+
+
+def test_groups_are_finished_one_by_one(spark, tmp_path, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rnd = np.random.default_rng(1)
+    rows = pd.DataFrame({"g": np.sort(np.r_[rnd.integers(0, 50, 900), np.full(2000, 20), np.full(1500, 21)]), "s": rnd.integers(0, 40, 4400) / 40})
+    rows["i"] = rnd.integers(0, 600, len(rows))
+    rows = rows.sort_values(["g", "s", "i"], ascending=[True, False, True])
+    pq.write_table(pa.Table.from_pandas(rows[["g", "i", "s"]], preserve_index=False), tmp_path / "f.parquet", row_group_size=100)
+    parts = [part for part, _ in topn.read_best(str(tmp_path / "f.parquet"), 5)]
+    got = pd.concat(parts)
+    assert got.values.tolist() == topn.best(rows[["g", "i", "s"]], 5).values.tolist() and max(map(len, parts)) < 600
+    df = spark.createDataFrame(rows)
+    want = sorted(map(tuple, topn.top_n(df, "g", "i", "s", 5).collect()))
+    monkeypatch.setattr(topn, "opened", lambda path: None)
+    assert want and sorted(map(tuple, topn.top_n(df, "g", "i", "s", 5).collect())) == want
 
 
 def vectors(n, seed=0):

@@ -10,7 +10,7 @@ more than FULL vectors a cell on average, every cell is parted by the words of t
 
 Search. Every vector is put in its nearest cell with its beam-searched code and the norm of what the code
 decodes to. It queries its nearest cells: look-up tables of inner products between the query and all words score the codes there,
-and the RERANK best are compared exactly. How many cells are queried is measured, not set: ASKED vectors are compared with
+and the RERANK best of a cell, four times as many of a group of cells, are compared exactly. How many cells are queried is measured, not set: ASKED vectors are compared with
 all vectors, in blocks, and as many cells are taken as hold TARGET of their true neighbours. So vectors without clusters
 are searched in most cells, at its cost, and recall is kept.
 
@@ -42,7 +42,7 @@ from leafline.session import scratch
 SAMPLE = 20_000
 BOOKS, WORDS, BEAM = 8, 64, 4
 RERANK = 48
-ASKED, TARGET = 256, 0.97
+ASKED, TARGET = 256, 0.99
 BLOCK, CHUNK = 32_768, 65_536
 MAX_CELLS, FULL = 4096, 32_768
 
@@ -184,7 +184,7 @@ def search_unit(model: Model, data: pd.DataFrame, query: pd.DataFrame, k: int, d
             rank = np.arange(len(q)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             return order[rank < n]
 
-        keep = first(q, score, RERANK)
+        keep = first(q, score, 4 * RERANK)
         q, row = q[keep], row[keep]
         exact = np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", y[q[c : c + 200_000]].astype(np.float64), x[row[c : c + 200_000]].astype(np.float64)) for c in range(0, len(q), 200_000))])
         keep = first(q, exact, k)

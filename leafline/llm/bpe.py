@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -147,6 +150,27 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(4)
+def tokens(path: str) -> list[bytes]:
+    """The bytes of every id."""
+    return sorted(ranks(path), key=ranks(path).__getitem__)
+
+
+@lru_cache(4)
+def token_sizes(path: str) -> np.ndarray:
+    return np.array([len(t) for t in tokens(path)], np.int64)
+
+
+def on_executors(spark: SparkSession, vocabulary: str) -> Callable[[], str]:
+    """Gives the vocabulary's path on whatever machine it is called: the file is shipped with the job, once a session."""
+    name = os.path.basename(vocabulary)
+    if not os.path.exists(vocabulary):
+        raise FileNotFoundError(vocabulary)
+    if not any(str(f).rsplit("/", 1)[-1] == name for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(vocabulary)
+    return lambda: vocabulary if os.path.exists(vocabulary) else SparkFiles.get(name)
+
+
 def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
     """Pair merging, lowest rank first and of equal ranks the leftmost; n log n by a heap over a linked list."""
     if (whole := rank.get(piece)) is not None:
@@ -180,6 +204,7 @@ class Encoder:
     """Encodes batches of texts; keeps finished merges, and forgets them all beyond CACHE_ENTRIES."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
+        self.vocabulary = vocabulary
         self.rank = ranks(vocabulary)
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -218,17 +243,21 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.merged(pieces)), np.int64, len(pieces)))])
         return np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
+    def ends(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Where each token ends, in bytes of its text's UTF-8."""
+        total = np.concatenate([[0], np.cumsum(token_sizes(self.vocabulary)[ids])])
+        firsts = np.cumsum(counts) - counts
+        return (total[1:] - np.repeat(total[firsts], counts)).astype(np.int32) if len(ids) else np.zeros(0, np.int32)
+
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of each token of a text, in bytes of its UTF-8."""
-        out, at, back = [], 0, {v: k for k, v in self.rank.items()}
-        for ids in self.merged(self.pieces([text])[0]):
-            for i in ids:
-                out.append((i, at, at := at + len(back[i])))
-        return out
+        ids, counts = self.encode([text])
+        ends = self.ends(ids, counts).tolist()
+        return list(zip(ids.tolist(), [0, *ends[:-1]], ends))
 
     def decode(self, ids: list[int]) -> str:
-        back = {v: k for k, v in self.rank.items()}
-        return b"".join(back[i] for i in ids).decode("utf-8", "replace")
+        back = tokens(self.vocabulary)
+        return b"".join([back[i] for i in ids]).decode("utf-8", "replace")
 
 
 CHARS_AT_ONCE = 2_000_000
@@ -248,32 +277,55 @@ def groups(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def encode_texts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, ids: str = "ids") -> DataFrame:
+def encode_texts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, ids: str = "ids", offsets: str | None = None) -> DataFrame:
     """``keep`` and the ids of ``text``, one row for each row of ``df``; map-only, no shuffle.
 
-    Null and empty texts have the empty list. Other columns of ``df`` aren't read.
+    With ``offsets``, a column of that name holds where each token ends, in bytes of the text's UTF-8. Null and empty texts have the
+    empty list. Other columns of ``df`` aren't read.
     """
-    schema = T.StructType([*(df.schema[k] for k in keep), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    lists = [ids] + ([offsets] if offsets else [])
+    schema = T.StructType([*(df.schema[k] for k in keep), *(T.StructField(n, T.ArrayType(T.IntegerType(), False), False) for n in lists)])
+    path = on_executors(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(path())
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             done = [encoder.encode(g) for g in groups(texts)]
             flat = np.concatenate([np.zeros(0, np.int32), *(d[0] for d in done)])
-            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(d[1] for d in done)]))])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*keep, ids])
+            counts = np.concatenate([np.zeros(0, np.int64), *(d[1] for d in done)])
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            made = [flat] + ([encoder.ends(flat, counts)] if offsets else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.ListArray.from_arrays(ends, pa.array(m, pa.int32())) for m in made)], [*keep, *lists])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*(F.col(k) for k in keep), F.col(text).alias("\0text")).mapInArrow(run, schema)
+
+
+def decode_texts(df: DataFrame, ids: str, ends: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
+    """``keep``, ``ids`` and ``decoded``: the text of the ids, null where the ends aren't those of the ids' bytes; map-only."""
+    schema = T.StructType([*(df.schema[k] for k in keep), df.schema[ids], T.StructField("decoded", T.StringType())])
+    path = on_executors(df.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path())
+        sizes = token_sizes(encoder.vocabulary)
+        for batch in batches:
+            found = []
+            for numbers, at in zip(batch.column(len(keep)), batch.column(len(keep) + 1)):
+                n = numbers.values.to_numpy()
+                found.append(encoder.decode(n.tolist()) if np.array_equal(np.cumsum(sizes[n]), at.values.to_numpy()) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], schema.names)
+
+    return df.select(*keep, ids, ends).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, count: str = "n_tokens") -> DataFrame:
     """``keep`` and the number of tokens of ``text`` (0 for null and empty), one row for each row of ``df``."""
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField(count, T.LongType(), False)])
+    path = on_executors(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(path())
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             sizes = np.concatenate([np.zeros(0, np.int64), *(encoder.count(g) for g in groups(texts))])

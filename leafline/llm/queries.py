@@ -22,7 +22,7 @@ def _items(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Every text in pieces of at most 1000, whole texts included."""
-    return split.split_oversized(_items(spark, root), "text", ["item_table", "item_id"]).distinct()
+    return split.split_oversized(_items(spark, root).distinct(), "text", ["item_table", "item_id"])
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -112,6 +112,12 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_texts(spread(table(spark, root, "documents").select("doc_id", "text")), "text", ["doc_id"])
 
 
+def p7_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """How many tokens every document has, and whether its ids and their ends in bytes decode to its text again."""
+    encoded = bpe.encode_texts(spread(table(spark, root, "documents").select("doc_id", "text")), "text", ["doc_id", "text"], offsets="ends")
+    return bpe.decode_texts(encoded, "ids", "ends", ["doc_id", "text"]).select("doc_id", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
 def p8_bins(spark: SparkSession, root: str) -> DataFrame:
     """Every document's place in the containers."""
     documents = table(spark, root, "documents").select("doc_id", "text")

@@ -1,7 +1,8 @@
 """Cutting oversized texts at natural boundaries by structure-tree packing.
 
 A text is a tree: sections by heading level, blocks parted by blank lines, list items, lines,
-sentences, clauses, words. ``pack`` descends only into nodes above the limit and merges the packed
+sentences, clauses, words. Fenced code, tables and HTML elements of several lines are nodes of their own: what looks like a heading or blank line in
+them parts nothing, and only one above the limit is cut, at its lines. A heading stays with what it heads. ``pack`` descends only into nodes above the limit and merges the packed
 pieces of neighbouring subtrees, bottom up, as long as they stay within it. New content of a piece is
 at most limit - overlap, for the piece starts by repeating the last ``overlap`` characters of the one before;
 the first piece may have the whole limit.
@@ -16,6 +17,7 @@ code points. Rows are independent: repeated rows give repeated pieces.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,38 +42,91 @@ LEVELS = [
 ]
 
 
-def pack(text: str, start: int, end: int, level: int, cap: int, forced: list[int]) -> list[tuple[int, int]]:
-    """Spans of at most ``cap`` that make up text[start:end]; lengths of forced stretches go to ``forced``."""
-    if end - start <= cap:
-        return [(start, end)]
-    if level == len(LEVELS):
-        if (n := end - start - (text[end - 1] in MARKS)) > cap:
-            forced.append(n)
-        return [(a, min(a + cap, end)) for a in range(start, end, cap)]
-    out: list[tuple[int, int]] = []
-    at = start
-    for cut in [*(m.end() for m in LEVELS[level].finditer(text, start, end)), end]:
-        if cut <= at:
-            continue
-        inner = [(at, cut)] if cut - at <= cap else pack(text, at, cut, level + 1, cap, forced)
-        for a, b in inner:
-            if out and b - out[-1][0] <= cap:
-                out[-1] = (out[-1][0], b)
+BLOCKS, LINES, WORDS = 9, 10, 12  # the levels below sections, lists and blank lines; below lines; of words
+
+#: Nodes of several lines: fenced code, table rows, HTML elements.
+CLOSED = re.compile(
+    r"^[^\S\n]*(?P<fence>```+|~~~+)[^\n]*\n(?:.*?\n)??[^\S\n]*(?P=fence)[^\S\n]*(?:\n|\Z)"
+    r"|(?:^[^\S\n]*\|[^\n]*(?:\n|\Z)){2,}"
+    r"|^<(?P<tag>table|pre|ul|ol|div|figure|blockquote)\b[^\n]*\n(?:.*?)</(?P=tag)>[^\S\n]*(?:\n|\Z)",
+    re.M | re.S | re.I,
+)
+HEADING = re.compile(r"(?:\A|\n)(#{1,6}[^\S\n][^\n]*\s*)\Z")
+
+
+class Tree:
+    """A text and its closed nodes."""
+
+    def __init__(self, text: str, cap: int):
+        self.text, self.cap = text, cap
+        self.closed = [m.span() for m in CLOSED.finditer(text)] if "\n" in text and re.search(r"```|~~~|\||<", text) else []
+        self.begins = [a for a, _ in self.closed]
+        self.forced: list[int] = []
+
+    def parts(self, cut: int, level: int) -> bool:
+        """Whether a boundary of a level may be used: not inside a closed node, but for the lines and words of an oversized one."""
+        k = bisect_right(self.begins, cut) - 1
+        if k < 0 or not self.closed[k][0] < cut < self.closed[k][1]:
+            return True
+        return level >= WORDS or level >= BLOCKS and self.closed[k][1] - self.closed[k][0] > self.cap
+
+    def heading(self, start: int, end: int) -> int:
+        """Where the heading begins that text[start:end] ends with, else ``end``."""
+        if (at := self.text.rfind("#", start, end)) < 0:
+            return end
+        begin = max(start, self.text.rfind("\n", start, at))
+        m = HEADING.search(self.text[begin:end])
+        return begin + m.start(1) if m and self.parts(begin + m.start(1), 0) else end
+
+    def pack(self, start: int, end: int, level: int) -> list[tuple[int, int]]:
+        """Spans of at most ``cap`` that make up text[start:end]."""
+        cap = self.cap
+        if end - start <= cap:
+            return [(start, end)]
+        if level == len(LEVELS):
+            if (n := end - start - (self.text[end - 1] in MARKS)) > cap:
+                self.forced.append(n)
+            return [(a, min(a + cap, end)) for a in range(start, end, cap)]
+        out: list[tuple[int, int]] = []
+
+        def head() -> int | None:
+            """Takes a heading off the end of what is packed."""
+            if level >= WORDS or not out or (h := self.heading(*out[-1])) == out[-1][1]:
+                return None
+            a, _ = out.pop()
+            if h > a:
+                out.append((a, h))
+            return h
+
+        at = start
+        for cut in [*(m.end() for m in LEVELS[level].finditer(self.text, start, end) if self.parts(m.end(), level)), end]:
+            if cut <= at:
+                continue
+            if cut - at > cap:
+                h = head()
+                inner = self.pack(at if h is None else h, cut, level + 1)
+            elif out and cut - out[-1][0] > cap and (h := head()) is not None:
+                inner = [(h, cut)] if cut - h <= cap else self.pack(h, cut, level + 1)
             else:
-                out.append((a, b))
-        at = cut
-    return out
+                inner = [(at, cut)]
+            for a, b in inner:
+                if out and b - out[-1][0] <= cap:
+                    out[-1] = (out[-1][0], b)
+                else:
+                    out.append((a, b))
+            at = cut
+        return out
 
 
 def pieces(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int]], bool]:
     """The spans of new content, and whether the text has a forced stretch."""
     if len(text) <= limit:
         return [(0, len(text))], False
-    forced: list[int] = []
-    spans = pack(text, 0, len(text), 0, limit - overlap, forced)
+    tree = Tree(text, limit - overlap)
+    spans = tree.pack(0, len(text), 0)
     while len(spans) > 1 and spans[1][1] <= limit:
         spans[:2] = [(0, spans[1][1])]
-    return spans, bool(forced)
+    return spans, bool(tree.forced)
 
 
 def split_oversized(df: DataFrame, text: str, keep: list[str], limit: int = 1000, overlap: int = 200) -> DataFrame:

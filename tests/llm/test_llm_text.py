@@ -78,6 +78,15 @@ def test_encode_frame(spark, reference):
     assert bpe.encode_texts(df.limit(0), "text", ["id"], ids="tokens").count() == 0
 
 
+def test_offsets_of_a_frame(spark):
+    df = spark.createDataFrame([(1, "Ünï  don't\n中文 123!"), (2, None), (3, ""), (4, "a b")], "id long, text string")
+    rows = bpe.encode_texts(df, "text", ["id", "text"], offsets="ends")
+    for r in rows.collect():
+        assert r["ends"] == [e for _, _, e in ENCODER.offsets(r["text"] or "")]
+    back = bpe.decode_texts(rows, "ids", "ends", ["id", "text"]).collect()
+    assert len(back) == 4 and all(r["decoded"] == (r["text"] or "") for r in back)
+
+
 def test_packing_keeps_every_token_once():
     rnd = np.random.default_rng(0)
     sizes = np.concatenate([rnd.integers(0, 700, 3000), [2048, 2049, 5000, 0]])
@@ -123,6 +132,18 @@ def test_pieces_are_whole_and_natural(seed):
             assert text[a - 1].isspace() or text[a].isspace() or text[a - 1] in split.MARKS or len(re.search(rf"[^\s{re.escape(split.MARKS)}]*$", text[:a])[0]) == 80
 
 
+def test_headings_stay_with_their_sections_and_closed_nodes_whole():
+    body = "A sentence of some words. " * 9
+    text = f"# Guide\n\n{body}\n\n## Setup\n\n{body * 3}\n\n```\n# comment\n\nx = 1\n\n# other\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n## End\n\n{body}"
+    for limit, overlap in ((300, 20), (400, 100), (1000, 200)):
+        spans, forced = split.pieces(text, limit, overlap)
+        assert not forced and len(spans) > 1
+        for a, b in spans[:-1]:
+            assert not re.search(r"(?:\A|\n)#{1,6} [^\n]*\s*\Z", text[a:b]) or text[a:b].rstrip().endswith("```")
+            for m in split.CLOSED.finditer(text):
+                assert not m.start() < b < m.end()
+
+
 def test_split_frame(spark):
     df = spark.createDataFrame([(1, "a " * 60, "x"), (2, None, "x"), (3, "", "x"), (4, "short", "x")], "id long, text string, piece string")
     rows = split.split_oversized(df, "text", ["id"], 100, 20).collect()

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from leafline.config import DOCUMENT_WEIGHTS, Weights, ranker_weights
 from leafline.functions import geometry as G
-from leafline.functions.captions import best_score, is_strong, with_matches
+from leafline.functions.captions import best_score, is_strong, with_hits, with_matches
 from leafline.functions.geometry import Box, num
 from leafline.functions.similarity import sequence_ratio
 from leafline.operators.layout import boxes, column_of, document_features, document_types, layout_columns
+from leafline.session import scratch
 
 BAND = 100.0
 
@@ -38,8 +39,8 @@ def placed_images(images: DataFrame) -> DataFrame:
 
 
 def candidates(blocks: DataFrame, images: DataFrame) -> DataFrame:
-    """Every image with every text block of its page; images without any drop out."""
-    return placed_blocks(blocks).join(placed_images(images), ["doc_id", "page_number"])
+    """Every image with every text block of its page; images without any drop out. Captions are looked for once a block, before it meets images."""
+    return with_hits(placed_blocks(blocks), "content").join(placed_images(images), ["doc_id", "page_number"])
 
 
 def elements(blocks: DataFrame, images: DataFrame) -> DataFrame:
@@ -81,9 +82,9 @@ def spatial_components(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("spatial_score", base * F.col("intervening_penalty") * F.col("layout_penalty"))
 
 
-def enhanced(blocks: DataFrame, images: DataFrame, scope: str = "doc") -> DataFrame:
+def enhanced(blocks: DataFrame, images: DataFrame, scope: str = "doc", every: DataFrame | None = None) -> DataFrame:
     """Candidates with all spatial components; the layout is the document's."""
-    every = elements(blocks, images)
+    every = elements(blocks, images) if every is None else every
     pairs = with_intervening(candidates(blocks, images), every, scope)
     return spatial_components(pairs.join(layout_columns(every, ["doc_id"]), "doc_id"))
 
@@ -169,6 +170,9 @@ def associate(ranked: DataFrame, threshold: float = 0.3, weights: Weights = Weig
 
 
 def analyse(blocks: DataFrame, images: DataFrame, scope: str = "doc") -> DataFrame:
-    """Ranked candidates of all documents."""
-    types = document_types(document_features(elements(blocks, images), ["doc_id"]))
-    return rank_candidates(enhanced(blocks, images, scope), types)
+    """Ranked candidates of all documents; their elements are read twice, so they are written once."""
+    path = scratch(blocks.sparkSession, "elements")
+    elements(blocks, images).write.parquet(path)
+    every = blocks.sparkSession.read.parquet(path)
+    types = document_types(document_features(every, ["doc_id"]))
+    return rank_candidates(enhanced(blocks, images, scope, every), types)

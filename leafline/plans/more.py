@@ -116,10 +116,10 @@ SELECT task_id, count(*) FILTER (WHERE k = 'h') AS headings, count(*) FILTER (WH
 @query
 def task_export(spark: SparkSession, root: str) -> DataFrame:
     """Finished tasks as JSON records, read back by key."""
-    done = table(spark, root, "tasks").filter("status = 'completed'").select("task_id", "document_id", "status", "completed_at", "markdown_content").distinct()
+    done = table(spark, root, "tasks").filter("status = 'completed'").select("task_id", "document_id", "status", "markdown_content")
     made = done.select("task_id", F.to_json(F.struct("document_id", "status", "markdown_content")).alias("j"))
     whole = records.has_keys(F.col("j"), ["document_id", "status", "markdown_content"])
-    return made.select("task_id", whole.alias("whole"), F.get_json_object("j", "$.document_id").alias("document_id"), F.length(F.get_json_object("j", "$.markdown_content")).cast("long").alias("n_chars"))
+    return made.select("task_id", whole.alias("whole"), F.get_json_object("j", "$.document_id").alias("document_id"), F.length(F.get_json_object("j", "$.markdown_content")).cast("long").alias("n_chars")).distinct()
 
 
 ORACLES["task_export"] = "SELECT DISTINCT task_id, markdown_content IS NOT NULL AS whole, document_id, length(markdown_content) AS n_chars FROM tasks WHERE status = 'completed'"
@@ -127,8 +127,8 @@ ORACLES["task_export"] = "SELECT DISTINCT task_id, markdown_content IS NOT NULL
 
 @query
 def task_faults(spark: SparkSession, root: str) -> DataFrame:
-    once = table(spark, root, "tasks").distinct()
-    return once.groupBy("status", F.array_join(lifecycle.state_faults(), ",").alias("faults")).agg(F.count("*").alias("n"))
+    narrow = table(spark, root, "tasks").withColumn("markdown_content", F.when(F.col("markdown_content").isNotNull(), ""))  # only whether there is one
+    return narrow.distinct().groupBy("status", F.array_join(lifecycle.state_faults(), ",").alias("faults")).agg(F.count("*").alias("n"))
 
 
 ORACLES["task_faults"] = """SELECT status, concat_ws(',', CASE WHEN status = 'completed' AND completed_at IS NULL THEN 'no end' END, CASE WHEN status = 'completed' AND progress < 100 THEN 'not whole' END, CASE WHEN status = 'pending' AND started_at IS NOT NULL THEN 'started' END, CASE WHEN completed_at < started_at THEN 'ends before it starts' END,

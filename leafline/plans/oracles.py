@@ -208,14 +208,14 @@ ORACLES["assoc_metrics"] = f"""WITH {_pruned(0.4, 5, 100, 0.5, True)}, a AS (SEL
 SELECT n_before, round(mb, 8) AS mean_before, n_after, round(ma, 8) AS mean_after, excellent, good, fair, poor, boosted, round((1 - n_after / greatest(n_before, 1)) * 100, 8) AS reduction FROM a, b"""
 ORACLES["assoc_summary"] = "SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE final_score >= 0.7) AS high_quality, count(*) FILTER (WHERE association_type = 'caption') AS captions, round(coalesce(avg(coalesce(final_score, 0)), 0), 8) AS mean_score FROM associations GROUP BY doc_id"
 ORACLES["assoc_merged_scores"] = """WITH a AS (SELECT image_id, block_uid, arg_max(final_score, (ingested_at, final_score)) AS s FROM associations WHERE image_id IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, block_uid) AS k FROM a)
-SELECT image_id, count(*) AS n, string_agg(block_uid::VARCHAR, ',' ORDER BY k) FILTER (WHERE k <= 100) AS items FROM k GROUP BY image_id"""
+SELECT image_id, any_value(total) AS n, string_agg(block_uid::VARCHAR, ',' ORDER BY k) AS items FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS total FROM k) GROUP BY image_id, (k - 1) // 100"""
 _profiles = {"default": 1.0, "report": 1.0, "unknown": 1.0, "academic_paper": 1.2, "technical_manual": 1.0, "presentation": 1.0, "magazine": 1.0, "book": 1.1}
 ORACLES["weight_profiles"] = "SELECT kind, round(0.6e0 / (0.85e0 + 0.4e0 * boost), 8) AS spatial, round(0.4e0 * boost / (0.85e0 + 0.4e0 * boost), 8) AS caption, round(0.25e0 / (0.85e0 + 0.4e0 * boost), 8) AS semantic, boost FROM (VALUES " + ", ".join(f"('{k}', {b}e0)" for k, b in _profiles.items()) + ") v(kind, boost)"
 
-ORACLES["related_images"] = """WITH a AS (SELECT block_uid, image_id, max(final_score) AS s FROM associations WHERE image_id IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY block_uid ORDER BY s DESC, image_id) AS k FROM a QUALIFY k <= 5),
+ORACLES["related_images"] = """WITH a AS (SELECT block_uid, image_id, max(final_score) AS s FROM associations WHERE image_id IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY block_uid ORDER BY s DESC, image_id) AS k FROM a),
  l AS (SELECT block_uid, string_agg(image_id, ',' ORDER BY k) AS images FROM k GROUP BY ALL) SELECT block_uid, coalesce(images, '') AS images FROM (SELECT DISTINCT block_uid FROM text_blocks) LEFT JOIN l USING (block_uid)"""
 _three = "round(final_score::DECIMAL(18, 8), 3)::DECIMAL(18, 3)::VARCHAR"
-_kept = "k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, text_block_id, image_id, association_type) AS k FROM (SELECT DISTINCT doc_id, text_block_id, image_id, final_score, association_type FROM associations WHERE image_id IS NOT NULL) QUALIFY k <= 100)"
+_kept = "k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, text_block_id, image_id, association_type) AS k FROM (SELECT DISTINCT doc_id, text_block_id, image_id, final_score, association_type FROM associations WHERE image_id IS NOT NULL))"
 ORACLES["assoc_comments"] = f"""WITH {_kept} SELECT doc_id, count(*) AS n, chr(10) || chr(10) || '<!-- IMAGE-TEXT ASSOCIATIONS -->' || chr(10) || string_agg(format('<!-- Association {{}}: TextBlock={{}}, Image={{}}, Score={{}}, Type={{}} -->', k, text_block_id, image_id, {_three}, association_type), chr(10) ORDER BY k) || chr(10) AS comments FROM k GROUP BY doc_id"""
 ORACLES["assoc_roundtrip"] = f"WITH {_kept} SELECT doc_id, k - 1 AS pos, text_block_id, image_id, {_three}::DOUBLE AS final_score, association_type FROM k"
 ORACLES["assoc_json"] = "SELECT block_uid, image_id, text_block_id, final_score FROM associations"
@@ -288,8 +288,9 @@ ORACLES["kb_association_scores"] = f"WITH {KB} SELECT document_id, len({_stored}
 ORACLES["kb_upsert"] = f"WITH {KB} SELECT document_id, title, CASE status WHEN 'deleted' THEN 'pending' ELSE status END AS status, version + (status = 'deleted')::INT AS version FROM kb"
 ORACLES["kb_remove"] = f"WITH {KB} SELECT document_id, status FROM kb WHERE status <> 'deleted'"
 ORACLES["rag_context"] = """WITH done AS (SELECT document_id, markdown_content FROM tasks WHERE status = 'completed' AND markdown_content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY completed_at, task_id) = 1),
- p AS (SELECT author, '## 文檔: ' || filename || chr(10) || chr(10) || markdown_content AS part, created_at, doc_id FROM (SELECT * FROM (SELECT DISTINCT author, doc_id, filename, created_at FROM doc_meta WHERE author IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY author ORDER BY created_at DESC, doc_id DESC) <= 20) JOIN done ON document_id = doc_id),
- c AS (SELECT author AS request_id, string_agg(part, chr(10) || chr(10) ORDER BY created_at DESC, doc_id DESC) AS prompt FROM p GROUP BY author) SELECT request_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM c"""
+ m AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY created_at DESC, doc_id DESC) AS k FROM (SELECT DISTINCT author, doc_id, filename, created_at FROM doc_meta WHERE author IS NOT NULL)),
+ p AS (SELECT CASE WHEN k <= 20 THEN author ELSE author || chr(31) || ((k - 1) // 20 + 1) END AS request_id, '## 文檔: ' || filename || chr(10) || chr(10) || markdown_content AS part, k FROM m JOIN done ON document_id = doc_id),
+ c AS (SELECT request_id, string_agg(part, chr(10) || chr(10) ORDER BY k) AS prompt FROM p GROUP BY request_id) SELECT request_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM c"""
 ORACLES["chat_tokens"] = "SELECT coalesce(source, 'none') AS source, (sum(coalesce(length(text) // 4, 0) + 3) + 3)::BIGINT AS tokens FROM documents GROUP BY 1"
 
 _once = "(SELECT DISTINCT id, doc_id, format, size FROM images)"

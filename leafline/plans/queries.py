@@ -132,10 +132,17 @@ def caption_nearest_above(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def caption_references(spark: SparkSession, root: str) -> DataFrame:
-    """Every reference to a figure with its place; positions need Python, for Spark's expressions give none."""
-    found = F.udf(captions.references, "array<struct<text:string,start:int,end:int>>")
-    held = _blocks(spark, root).filter(F.coalesce(F.lower("content").rlike("圖|figure|公式|equation|formula"), F.lit(False))).select("block_uid", "content").distinct()
-    return held.select("block_uid", F.explode(found("content")).alias("r")).select("block_uid", "r.*")
+    """Every reference to a figure with its place."""
+    held = _blocks(spark, root).filter(F.coalesce(F.lower("content").rlike("圖|figure|公式|equation|formula"), F.lit(False))).select("block_uid", "content")
+    return captions.with_all_matches(held, "content", ["block_uid"], [p for p in CAPTION_PATTERNS if p.kind == "reference"]).drop("kind").distinct()
+
+
+@query
+def caption_places(spark: SparkSession, root: str) -> DataFrame:
+    """By kind of caption pattern: blocks with a match, matches, their length, and where the first begins on average."""
+    found = captions.with_all_matches(_blocks(spark, root).select("block_uid", "content"), "content", ["block_uid"]).distinct()
+    first = found.groupBy("kind", "block_uid").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("start").alias("start"))
+    return first.groupBy("kind").agg(F.count("*").alias("blocks"), F.sum("n").alias("matches"), F.sum("chars").alias("chars"))
 
 
 # Layout and document types
@@ -558,8 +565,8 @@ def image_keys(spark: SparkSession, root: str) -> DataFrame:
 @query
 def image_checksums(spark: SparkSession, root: str) -> DataFrame:
     """Whether the stored checksum and format of each image fit its bytes."""
-    once = table(spark, root, "images").select("id", "data", "checksum").distinct()
-    return once.select("id", (F.md5("data") == F.col("checksum")).alias("fits"), images.image_format(F.col("data")).alias("format"))
+    each = table(spark, root, "images").select("id", (F.md5("data") == F.col("checksum")).alias("fits"), images.image_format(F.col("data")).alias("format"))
+    return each.distinct()
 
 
 # Tasks, errors, rates

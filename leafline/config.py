@@ -32,6 +32,7 @@ class Weights:
             raise ValueError("caption must have the largest weight")
 
 
+# Weights by kind of use.
 PROFILES = {
     "general": Weights(),
     "academic": Weights(0.5, 0.25, 0.15, 0.08, 0.02),
@@ -101,10 +102,11 @@ STRONG_INDICATORS = (
     r"(下|以下)(圖|表|圖表)[\.:：]", r"Figure\s+\d+[\.:：]", r"Table\s+\d+[\.:：]", r"Chart\s+\d+[\.:：]", r"Diagram\s+\d+[\.:：]",
 )
 
+# Factors of a match by the pattern's kind and by where the text stands.
 TYPE_FACTORS = {"figure_number": 1.0, "table_number": 1.0, "chart_diagram": 0.95, "reference": 0.9, "title": 0.85, "description": 0.8}
 POSITION_FACTORS = {"above": 1.1, "below": 1.2, "left": 0.9, "right": 0.9, "inside": 0.8, "distant": 0.6}
 
-#: vertical, horizontal, distance, alignment, caption boost
+# Vertical, horizontal, distance, alignment, caption boost by type of document.
 DOCUMENT_WEIGHTS = {
     "default": (0.40, 0.25, 0.20, 0.10, 1.0),
     "report": (0.40, 0.25, 0.20, 0.10, 1.0),
@@ -139,3 +141,13 @@ class Index:
     max_content: int = 10_000
     association_weight: float = 0.3
     facets: tuple[str, ...] = field(default=("file_format", "status"))
+
+
+def request_weights(weights: dict[str, float]) -> dict[str, float]:
+    """The weights a request may set: caption, spatial and semantic must be there and sum to 1, within 0.01; others aren't looked at."""
+    needed = ("caption_weight", "spatial_weight", "semantic_weight")
+    if missing := [k for k in needed if k not in weights]:
+        raise ValueError(f"missing weights: {missing}")
+    if abs(sum(weights[k] for k in needed) - 1) > 0.01:
+        raise ValueError("caption, spatial and semantic weight must sum to 1")
+    return weights

@@ -230,3 +230,12 @@ def legacy_score(text: Box, image: Box) -> Column:
     cd = center_distance(text, image) / mean_side(text, image)
     total = relation_confidence(h, v, text, image) + alignment_score(text, image) * 0.2 + F.when((share > 0) & (share < 0.3), share * 0.1).otherwise(0.0) + reading_order(text, image) * 0.1
     return F.least(num(1), total * F.greatest(num(0.3), 1 - cd * 0.1)) * 0.3
+
+
+# The compositions of Allen relations that are known.
+COMPOSITIONS = {("precedes", "precedes"): "precedes", ("meets", "precedes"): "precedes", ("overlaps", "overlaps"): "overlaps", ("during", "contains"): "during", ("equals", "equals"): "equals"}
+
+
+def compose(first: Column, second: Column) -> Column:
+    """What follows from two relations, a to b and b to c; null where it isn't known."""
+    return F.coalesce(*(F.when((first == a) & (second == b), c) for (a, b), c in COMPOSITIONS.items()))

@@ -113,3 +113,28 @@ def to_html(md: Column) -> Column:
         return F.concat(F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">"))
 
     return F.array_join(F.transform(split_blocks(safe), one), "\n")
+
+
+#: A heading line by line: its marks and its title.
+HEADING = r"(?md)^(#{1,6})\s+(.+)$"
+
+
+def contents(md: Column) -> Column:
+    """The table of contents of a Markdown text: one indented link a heading."""
+    marks, titles = F.regexp_extract_all(md, F.lit(HEADING), F.lit(1)), F.regexp_extract_all(md, F.lit(HEADING), F.lit(2))
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s-]", ""), r"(?U)[-\s]+", "-")
+    lines = F.zip_with(marks, titles, lambda m, t: F.concat(F.repeat(F.lit("  "), F.length(m) - 1), F.lit("- ["), t, F.lit("](#"), F.regexp_replace(F.lower(plain(t)), "^-+|-+$", ""), F.lit(")")))
+    return F.concat(F.lit("## 目錄\n\n"), F.array_join(lines, "\n"), F.lit("\n\n"))
+
+
+def image_url(image: Column, filename: Column, base: str = "./images/") -> Column:
+    """Where an image is found: its file name, with .png if it has no ending of an image, below ``base``."""
+    named = F.when(F.coalesce(filename, F.lit("")) == "", F.concat(image, F.lit(".png"))).when(filename.rlike(r"(?i)\.(png|jpg|jpeg|gif|webp)$"), filename).otherwise(F.concat(filename, F.lit(".png")))
+    return F.concat(F.lit(base if base.endswith("/") else base + "/"), named)
+
+
+def for_platform(md: Column, platform: str = "github") -> Column:
+    """Markdown for a platform: task boxes of a list in the one form that GitHub draws; others take it as it is."""
+    if platform.lower() != "github":
+        return md
+    return F.regexp_replace(F.regexp_replace(md, r"- \[ \]", "- [ ]"), r"- \[x\]", "- [x]")

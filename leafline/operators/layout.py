@@ -130,3 +130,17 @@ def boxes(elements: DataFrame, struct: str = "bbox") -> DataFrame:
     """``elements`` with x, y, w, h out of a box struct; rows without a box are dropped."""
     b = Box.of(struct)
     return elements.filter(F.col(struct).isNotNull()).withColumns({"x": b.left, "y": b.top, "w": b.width, "h": b.height})
+
+
+# What speaks for a type of document.
+SIGNS = {
+    "academic_paper": "具有學術論文特徵：規整佈局、文字為主", "technical_manual": "具有技術手冊特徵：圖文並茂、結構化內容", "presentation": "具有演示文稿特徵：簡潔佈局、視覺化內容",
+    "magazine": "具有雜誌特徵：多欄佈局、豐富視覺元素", "book": "具有書籍特徵：文字為主、規整排版",
+}
+
+
+def type_reasoning() -> Column:
+    """Why a document has its type, in words, from the columns of ``document_types``; numbers are rounded half up."""
+    near = lambda c, n: F.round(F.col(c).cast("decimal(18,6)"), n).cast(f"decimal(18,{n})").cast("string")
+    signs = F.coalesce(*(F.when(F.col("document_type") == k, v) for k, v in SIGNS.items()))
+    return F.concat_ws("; ", F.format_string("佈局類型: %s (%d欄)", "layout_type", "column_count"), F.concat(F.lit("文字圖片比例: "), near("text_image_ratio", 1)), F.concat(F.lit("內容密度: "), near("content_density", 2)), signs)

@@ -47,3 +47,29 @@ def extensions(names: Column) -> Column:
 
 def parsed_names(files: DataFrame, key: str, name: str) -> DataFrame:
     return files.select(key, name_parts(F.col(name)).alias("p")).select(key, "p.*")
+
+
+# Progress in percent and the step that has begun there.
+STEPS = ((0, "開始處理"), (20, "解析文檔內容"), (40, "處理圖片"), (60, "分析圖文關聯"), (80, "生成Markdown"), (100, "處理完成"))
+
+
+def step_of(progress: Column) -> Column:
+    """The step of a task by its progress; null without any."""
+    return F.coalesce(*(F.when(progress >= least, name) for least, name in reversed(STEPS)))
+
+
+def advance(tasks: DataFrame, events: DataFrame, key: str = "task_id") -> DataFrame:
+    """``tasks`` (key, status, progress) after ``events`` (key, at, event, progress): 'progress', 'fail' or 'cancel'.
+
+    A finished task no longer changes: of its events only those up to the first that ends it count. Progress never falls, 100 completes, a
+    pending task with an event is processing; failing and cancelling both end as failed. One aggregation a task.
+    """
+    ends = F.col("event").isin("fail", "cancel") | (F.col("progress") >= 100)
+    first = events.groupBy(key).agg(F.min(F.when(ends, F.col("at"))).alias("_end"))
+    held = events.join(first, key).filter(F.col("_end").isNull() | (F.col("at") <= F.col("_end")))
+    last = held.groupBy(key).agg(F.max("progress").alias("_p"), F.max(F.col("event").isin("fail", "cancel")).alias("_failed"), F.max_by("event", "at").alias("_event"))
+    joined = tasks.join(last, key, "left")
+    open_ = F.col("status").isin("pending", "processing") & F.col("_event").isNotNull()
+    progress = F.when(open_, F.greatest(F.coalesce("progress", F.lit(0.0)), F.coalesce("_p", F.lit(0.0)))).otherwise(F.col("progress"))
+    status = F.when(open_ & F.col("_failed"), "failed").when(open_ & (progress >= 100), "completed").when(open_, "processing").otherwise(F.col("status"))
+    return joined.withColumns({"status": status, "progress": progress}).drop("_p", "_failed", "_event")

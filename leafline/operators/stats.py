@@ -70,3 +70,23 @@ def score_lists(merged: DataFrame, group: str, item: str, size: int = 100) -> Da
     placed = merged.withColumn("k", F.row_number().over(order)).withColumn("page", ((F.col("k") - 1) / size).cast("int"))
     lists = placed.groupBy(group, "page").agg(F.array_sort(F.collect_list(F.struct("k", F.col(item).alias("item"), "score"))).alias("items"))
     return lists.join(merged.groupBy(group).agg(F.count("*").alias("n")), group).select(group, "n", "page", "items")
+
+
+def compression(images: DataFrame, before: str, after: str) -> DataFrame:
+    """One row: images, bytes before and after, bytes and per cent saved, mean ratio, and how many are small, medium, large and very large."""
+    kb = F.col(after) / 1024
+    ratio = F.try_divide(F.col(after), F.col(before))
+    a, b = F.coalesce(F.sum(before), F.lit(0)), F.coalesce(F.sum(after), F.lit(0))
+    return images.agg(
+        F.count("*").alias("n"), a.alias("original"), b.alias("optimized"), (a - b).alias("saved"), F.coalesce(F.avg(ratio), F.lit(0.0)).alias("ratio"), F.coalesce(F.try_divide(a - b, a) * 100, F.lit(0.0)).alias("saved_percent"),
+        F.count_if(kb < 100).alias("small"), F.count_if((kb >= 100) & (kb < 500)).alias("medium"), F.count_if((kb >= 500) & (kb < 2048)).alias("large"), F.count_if(kb >= 2048).alias("xlarge"),
+    )
+
+
+def error_report(errors: DataFrame, category: str, severity: str, at: str, message: str, now: Column, top: int = 5) -> DataFrame:
+    """(facet, value, n): errors by category and severity, those of the last 24 hours, and the ``top`` commonest messages (ties by name)."""
+    facet = lambda name, value: F.struct(F.lit(name).alias("facet"), F.coalesce(value, F.lit("unknown")).alias("value"))
+    recent = F.when(F.col(at) >= now - F.make_interval(hours=F.lit(24)), facet("recent", F.lit("24h")))
+    each = errors.select(F.explode(F.array_compact(F.array(facet("category", F.col(category)), facet("severity", F.col(severity)), recent, facet("message", F.col(message))))).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
+    return each.withColumn("k", F.row_number().over(order)).filter((F.col("facet") != "message") | (F.col("k") <= top)).drop("k")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafline.plans import more
+from leafline.plans import further, more
 from leafline.plans.oracles import ORACLES
 from leafline.plans.queries import QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "more"]
+__all__ = ["ORACLES", "QUERIES", "further", "more"]

@@ -63,7 +63,9 @@ def read_docx(path: str) -> Iterator[tuple]:
 
 
 def _place(shape: ElementTree.Element) -> tuple | None:
-    off, ext = shape.find(f".//{A}xfrm/{A}off"), shape.find(f".//{A}xfrm/{A}ext")
+    # Shapes and pictures carry their place in the drawing's name space, frames of tables in the presentation's.
+    at = next((x for x in (shape.find(f".//{A}xfrm"), shape.find(f"{P}xfrm")) if x is not None), None)
+    off, ext = (at.find(f"{A}off"), at.find(f"{A}ext")) if at is not None else (None, None)
     if off is None or ext is None:
         return None
     return (int(off.get("x", 0)) / EMU, int(off.get("y", 0)) / EMU, int(ext.get("cx", 0)) / EMU, int(ext.get("cy", 0)) / EMU)

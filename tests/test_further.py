@@ -50,6 +50,18 @@ def test_tasks_advance(spark):
     assert [r["s"] for r in steps.collect()] == ["開始處理", "解析文檔內容", "處理完成", None]
 
 
+def test_place_of_shapes_and_table_frames():
+    from xml.etree import ElementTree
+
+    from leafline.sources import office
+
+    names = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    place = '<a:off x="12700" y="25400"/><a:ext cx="38100" cy="50800"/>'
+    for xml in (f"<p:sp {names}><p:spPr><a:xfrm>{place}</a:xfrm></p:spPr></p:sp>", f"<p:graphicFrame {names}><p:xfrm>{place}</p:xfrm></p:graphicFrame>"):
+        assert office._place(ElementTree.fromstring(xml)) == (1.0, 2.0, 3.0, 4.0)
+    assert office._place(ElementTree.fromstring(f"<p:sp {names}/>")) is None
+
+
 def test_reports_of_nothing(spark):
     images = spark.createDataFrame([], "size long, after long")
     assert tuple(stats.compression(images, "size", "after").first()) == (0, 0, 0, 0, 0.0, 0.0, 0, 0, 0, 0)

@@ -56,6 +56,7 @@ def block_kind(block: Column) -> Column:
     return F.when(block.rlike(r"^#{1,6}\s"), "header").when(block.rlike(r"^([-*+•]|\d+[.)])\s"), "list").when(block.rlike(r"^\|"), "table").when(block.rlike(r"^```"), "code").otherwise("paragraph")
 
 
+# The form of an association comment, and of a link to an image.
 ASSOCIATION = r"<!-- Association \d+: TextBlock=([^,]+), Image=([^,]+), Score=([^,]+), Type=([^)]+?) -->"
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from leafline.config import STOP_WORDS_EN, STOP_WORDS_ZH
 
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+# The addresses that are accepted.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
+# Not fixed: what counts as a URL here needs a host, which is checked after the match.
 URL = r"https?://[A-Za-z0-9$\-_@.&+!*(),%/:=?~#]+"
 
 

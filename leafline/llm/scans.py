@@ -1,7 +1,8 @@
 """Repair of text from scanned pages.
 
-Pages of a document are taken together in groups of CHUNK pages, with half a group of each neighbour as context, so
-a document of any length makes bounded groups. In a group:
+Pages of a document are taken together in reading order (page, uid), in groups of CROWDED with half a group of each
+neighbour as context, so a document of any length makes bounded groups, however many blocks have one page number.
+Every page is seen with CROWDED / 2 before it and after it at least. In a group:
 
 * Page numbers are edge lines with nothing but a number in some style, if it is the page's own or
   keeps the same distance to it on three pages or more.
@@ -17,8 +18,7 @@ a document of any length makes bounded groups. In a group:
 
 The vocabulary counts all words of all texts, clean and scanned; it stays distributed and is joined by merging, not shipped.
 Rows delivered twice count once. Null and blank pages have no noise. A page without a document or a page number
-has no neighbours, so it is taken by itself. If very many blocks have one document and nearly the same page number (more
-than CROWDED in a group), they are dealt to groups of about CHUNK by a hash.
+has no neighbours, so it is taken by itself.
 """
 
 from __future__ import annotations
@@ -37,12 +37,11 @@ from pyspark.sql import types as T
 from leafline.llm.lookalike import table_form
 from leafline.session import scratch
 
-CHUNK = 200
+CROWDED = 1600
 KNOWN, MUCH = 3, 10
 ALIKE = 0.9
 OFTEN = 0.4
 TWO_FROM = 6
-CROWDED = 8 * CHUNK
 COMMON = 1000
 
 # Signs that break a word at a line's end; the last two do nothing else.
@@ -108,11 +107,23 @@ def title_key(line: str) -> str:
     return re.sub(r"\s+", " ", line).strip().casefold()
 
 
+@lru_cache(50_000)
+def readings(word: str) -> frozenset[str]:
+    return frozenset({word, *spellings(word)})
+
+
+letters = lru_cache(50_000)(frozenset)
+
+
 @lru_cache(50_000)
 def same_word(a: str, b: str) -> bool:
     """Whether two words may be readings of the same one."""
-    x, y = {a, *spellings(a)}, {b, *spellings(b)}
-    return not x.isdisjoint(y) or min(len(a), len(b)) > 5 and difflib.SequenceMatcher(None, a, b, False).ratio() >= ALIKE
+    if not readings(a).isdisjoint(readings(b)):
+        return True
+    # A letter that only one of them has is never matched, so most words needn't be compared.
+    if min(len(a), len(b)) <= 5 or 1 - len(letters(a) ^ letters(b)) / (len(a) + len(b)) < ALIKE:
+        return False
+    return difflib.SequenceMatcher(None, a, b, False).ratio() >= ALIKE
 
 
 def same_line(a: str, b: str) -> bool:
@@ -122,8 +133,8 @@ def same_line(a: str, b: str) -> bool:
 
 
 class Page:
-    def __init__(self, uid: object, number: int | None, text: str):
-        self.uid, self.number = uid, number
+    def __init__(self, uid: object, number: int | None, text: str, own: bool = True):
+        self.uid, self.number, self.own = uid, number, own
         self.lines = re.split(r"\r\n|\r|\n", text)
         self.drop: dict[int, str] = {}
 
@@ -151,7 +162,7 @@ def mark_numbers(pages: list[Page]) -> bool:
 def mark_titles(pages: list[Page], first: bool) -> bool:
     """Marks running lines at the edges as they are now; whether there were any. Only in the ``first`` rounds two pages are enough."""
     groups: list[tuple[str, list[tuple[Page, int]]]] = []
-    of_size: dict[int, list[int]] = {}
+    of_size: dict[int, dict[str, list[int]]] = {}
     exact: dict[str, int] = {}
     for p in pages:
         for i in p.edges():
@@ -159,13 +170,12 @@ def mark_titles(pages: list[Page], first: bool) -> bool:
             if len(key) < 3 or not any(c.isalpha() for c in key):
                 continue
             if (g := exact.get(key)) is None:
-                alike = of_size.setdefault(key.count(" "), [])
-                for g in alike:
-                    if same_line(groups[g][0], key):
-                        break
-                else:
+                begin = key.partition(" ")[0]
+                alike = of_size.setdefault(key.count(" "), {})
+                near = sorted(g for w, held in alike.items() if w == begin or same_word(w, begin) for g in held)
+                if (g := next((g for g in near if same_line(groups[g][0], key)), None)) is None:
                     g = len(groups)
-                    alike.append(g)
+                    alike.setdefault(begin, []).append(g)
                     groups.append((key, []))
                 exact[key] = g
             groups[g][1].append((p, i))
@@ -267,51 +277,48 @@ def spellings(token: str) -> set[str]:
 
 
 def grouped(pages: DataFrame) -> DataFrame:
-    """(doc, chunk, part, uid, page, text), each page in its own chunk and in those it is context of.
+    """(doc, chunk, part, own, uid, page, text), each page in its own chunk and in those it is context of.
 
-    ``part`` is 0 but for pages that stand alone, and for groups with more than CROWDED blocks.
+    A chunk is CROWDED pages of a document in a row; ``part`` is 0 but for pages that stand alone. Pages are numbered
+    without their texts, so that those of a long document never meet in one task.
     """
-    alone = F.col("doc").isNull() | F.col("page").isNull()
-    near = F.array_distinct(F.filter(F.array(F.floor(F.col("page") / CHUNK), F.floor((F.col("page") - CHUNK // 2) / CHUNK), F.floor((F.col("page") + CHUNK // 2) / CHUNK)), lambda c: c >= 0))
-    near = F.when(alone | (F.size(near) < 1), F.array(F.lit(0).cast("long"))).otherwise(near)
-    own = lambda df: df.withColumn("chunk", F.explode(near)).withColumn("part", F.when(alone, F.xxhash64("uid")).otherwise(0))
-    crowded = own(pages.select("doc", "page", "uid").distinct()).groupBy("doc", "chunk", "part").count().filter(F.col("count") > CROWDED).select("doc", "chunk", F.ceil(F.col("count") / CHUNK).alias("parts"))
-    out = own(pages.select("doc", "uid", "page", "text"))
-    if crowded.isEmpty():
-        return out
-    dealt = F.when(F.col("parts").isNull(), F.col("part")).otherwise(F.pmod(F.xxhash64("uid"), F.col("parts")))
-    return out.join(crowded.hint("merge"), ["doc", "chunk"], "left").withColumn("part", dealt).drop("parts")
+    order = F.row_number().over(Window.partitionBy("doc").orderBy("page", "uid")) - 1
+    places = pages.select("doc", "page", "uid").filter("doc is not null and page is not null").distinct().withColumn("place", order)
+    alone = F.col("place").isNull()
+    chunk = lambda ahead: F.floor((F.col("place") + ahead) / CROWDED)
+    near = F.array_distinct(F.filter(F.array(chunk(0), chunk(-(CROWDED // 2)), chunk(CROWDED // 2)), lambda c: c >= 0))
+    near = F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(near)
+    out = pages.select("doc", "uid", "page", "text").join(places.hint("merge"), ["doc", "page", "uid"], "left").withColumn("chunk", F.explode(near))
+    return out.select("doc", "chunk", F.when(alone, F.xxhash64("uid")).otherwise(0).alias("part"), (alone | (F.col("chunk") == chunk(0))).alias("own"), "uid", "page", "text")
 
 
 def _read(parts: Iterator[pa.RecordBatch]) -> list[Page]:
+    """The pages of a group in order; none if all are context."""
     rows = {r["uid"]: r for part in parts for r in part.to_pylist() if r["text"] and r["text"].strip()}
-    return [Page(r["uid"], r["page"], r["text"]) for r in sorted(rows.values(), key=lambda r: (r["page"] or 0, r["uid"]))]
-
-
-def _own(page: Page, chunk: int) -> bool:
-    return max(0, (page.number or 0) // CHUNK) == chunk
+    pages = [Page(r["uid"], r["page"], r["text"], r["own"]) for r in sorted(rows.values(), key=lambda r: (r["page"] or 0, r["uid"]))]
+    return pages if any(p.own for p in pages) else []
 
 
 def parse(pages: DataFrame) -> DataFrame:
     """(uid, kind, raw, a, b) of all pages: finished lines, breaks to be asked (kind split), and all words in one row a page."""
 
-    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(_: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _read(parts)
         analyse(found)
         broken = breaks(found)
         per_page = page_words(found, broken)
         rows = []
         for p in found:
-            if _own(p, key[1].as_py()):
+            if p.own:
                 rows += [(p.uid, kind, p.lines[i].strip(), "", "") for i, kind in p.drop.items()]
                 rows.append((p.uid, "words", " ".join(sorted(set(per_page[id(p)]))), "", ""))
         for p, _, _, _, left, right, sure in broken:
-            if _own(p, key[1].as_py()):
+            if p.own:
                 rows.append((p.uid, "sure" if sure else "split", f"{left}\n{right}", table_form(left).lower(), table_form(right).lower()))
         columns = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if n == 0 else pa.string()) for n, c in enumerate(columns)], ["uid", "kind", "raw", "a", "b"])
 
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    run.__annotations__ = {"_": tuple[pa.Scalar, ...], "parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return grouped(pages).groupBy("doc", "chunk", "part").applyInArrow(run, "uid long, kind string, raw string, a string, b string")
 
 
@@ -443,13 +450,13 @@ def paragraphs(pages: DataFrame, found: DataFrame) -> DataFrame:
     """(uid, page, paragraph_no, paragraph): the repaired pages as continuous paragraphs; ``found`` is what ``noise`` gave."""
     fixes = found.filter("kind in ('split_word', 'misread')").groupBy("uid").agg(F.to_json(F.collect_list(F.struct("kind", "raw", "fixed"))).alias("fixes"))
 
-    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(_: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         held = list(parts)
         known = {r["uid"]: [(f["kind"], f["raw"], f["fixed"]) for f in json.loads(r["fixes"])] for part in held for r in part.to_pylist() if r["fixes"]}
         pages = _read(iter(held))
-        own = {p.uid for p in pages if _own(p, key[1].as_py())}
+        own = {p.uid for p in pages if p.own}
         rows, number = [], Counter()
         for uid, page, text in rebuild(pages, known):
             if uid in own:
@@ -459,5 +466,5 @@ def paragraphs(pages: DataFrame, found: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["uid", "page", "paragraph_no", "paragraph"])
 
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    run.__annotations__ = {"_": tuple[pa.Scalar, ...], "parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return grouped(pages).join(fixes, "uid", "left").groupBy("doc", "chunk", "part").applyInArrow(run, "uid long, page int, paragraph_no int, paragraph string")

@@ -312,6 +312,42 @@ def test_two_confusions_and_pages_that_stand_alone(spark, monkeypatch):
     assert {(10 + k, "misread", "scanner") for k in range(9)} <= found and {(10 + k, "page_number", "7") for k in range(9)} <= found
 
 
+def crowded_pages(blocks: int, a_page: int) -> list[tuple[str, int, int, str]]:
+    """Blocks in pairs: both of a pair have a title that hardly any other has, and a word is broken from one to the other."""
+    rng = random.Random(1)
+    known = ["".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(60)]
+    line = lambda k: " ".join(rng.choices(known, k=k))
+    out = []
+    for k in range(0, blocks, 2):
+        title = line(3)
+        out.append(("d", 1 + k // a_page, k, f"{title}\n{line(6)}\n{line(5)} was cali-"))
+        out.append(("d", 1 + (k + 1) // a_page, k + 1, f"{title}\nbrated for {line(5)}\n{line(8)}"))
+    return out
+
+
+@pytest.mark.parametrize("blocks, a_page", [(2000, 20), (1700, 1700)])
+def test_neighbours_meet_however_many_blocks_a_page_has(spark, blocks, a_page):
+    clean = spark.createDataFrame([("calibrated was for",)] * 20, "text string")
+    rows = crowded_pages(blocks, a_page)
+    found = {tuple(r) for r in scans.noise(spark.createDataFrame(rows, "doc string, page int, uid long, text string"), clean).select("uid", "kind", "fixed").collect()}
+    assert {f for f in found if f[1] == "split_word"} == {(k, "split_word", "calibrated") for k in range(0, blocks, 2)}
+    assert {f for f in found if f[1] == "running_line"} == {(uid, "running_line", text.split("\n")[0]) for _, _, uid, text in rows}
+
+
+def test_groups_follow_the_order_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(scans, "CROWDED", 10)
+    rows = [("d", k // 40, k, "text") for k in range(100)] + [("e", 1000 * k, 200 + k, "text") for k in range(4)] + [("d", None, 300, "text"), (None, 1, 301, "text")]
+    groups: dict[tuple, list] = {}
+    for r in scans.grouped(spark.createDataFrame(rows + rows[:9], "doc string, page int, uid long, text string")).distinct().collect():
+        groups.setdefault((r["doc"], r["chunk"], r["part"]), []).append((r["uid"], r["own"]))
+    assert sorted(uid for g in groups.values() for uid, own in g if own) == sorted(r[2] for r in rows)
+    assert max(len(g) for g in groups.values()) == 20
+    assert sorted(uid for uid, _ in groups["e", 0, 0]) == [200, 201, 202, 203]
+    for g in groups.values():
+        held, own = {uid for uid, _ in g}, {uid for uid, own in g if own}
+        assert all({*range(max(0, uid - 5), min(100, uid + 6))} <= held for uid in own if uid < 100) and (max(own, default=0) < 300 or len(held) == 1)
+
+
 @pytest.mark.parametrize("line, want", [("Page 3", (3,)), ("– 12 –", (12,)), ("[l]", (1, 50)), ("iv", (4,)), ("3/17", (3,)), ("第 5 頁", (5,)), ("70 %", (70,)), ("345 g/m²", ()), ("word", ())])
 def test_page_numbers(line, want):
     assert scans.numbers(line) == want
